@@ -1,7 +1,7 @@
 """The queries of this subpackage and their SQL, by name."""
 
-from lexibrook.llm import mixing, simhash
+from lexibrook.llm import chat, licences, mixing, packing, rans, simhash
 
-MODULES = (mixing, simhash)
+MODULES = (packing, chat, mixing, rans, licences, simhash)
 QUERIES = {k: v for m in MODULES for k, v in m.QUERIES.items()}
 SQL = {k: v for m in MODULES for k, v in m.SQL.items()}
