@@ -1,13 +1,15 @@
-"""Token ids of the `tokenizers` library, by word: equal to encode(), with each distinct word encoded once.
+"""Token ids of the `tokenizers` library, by word: equal to encode(), with each distinct word merged once.
 
 Both vocabularies cut a text into words before anything is merged, so ids of a text are the ids of its words in order. Texts
-whose characters are all in SAFE (ASCII and the letters of Latin-1) are cut here, on Latin-1 bytes; words are kept in a bounded
-cache. All other texts go whole to the library. The cache is emptied when it holds CACHE words, so memory is bounded."""
+whose characters are all in SAFE (ASCII and the letters of Latin-1) are cut here, on Latin-1 bytes: first at spaces, then each
+unseen run into words, and each unseen word is merged. Runs and words are kept in a cache of two generations of CACHE entries
+(about 200 MB), so memory is bounded. All other texts go whole to the library."""
 
 from __future__ import annotations
 
 import re
 import zlib
+from array import array
 from functools import lru_cache
 
 LETTERS = rb"A-Za-z\xC0-\xD6\xD8-\xF6\xF8-\xFF"
@@ -16,49 +18,124 @@ SUFFIX = rb"'s|'t|'re|'ve|'m|'ll|'d|"
 BYTE_LEVEL = re.compile(SUFFIX + rb" ?[%b]+| ?[0-9]+| ?[^\s0-9%b]+|\s+(?!\S)|\s+" % (LETTERS, LETTERS))
 WORD_LEVEL = re.compile(SUFFIX + rb"[%b]+|[0-9]|[^\s0-9%b]+" % (LETTERS, LETTERS))
 LOWER = bytes(i + 32 if 65 <= i <= 90 or 0xC0 <= i <= 0xDE and i != 0xD7 else i for i in range(256))
-CACHE = 300_000
+CACHE = 500_000
 
 
-class Words(dict):
-    """word -> number; ids of word k are flat[start[k] : start[k] + count[k]]."""
+class Store:
+    """Ids one after another; those of number k are flat[start[k] : start[k] + count[k]]."""
 
-    def __init__(self, encode) -> None:
-        import numpy as np
+    def __init__(self) -> None:
+        self.start, self.count, self.flat = array("q"), array("q"), array("I")
 
-        self.encode, self.n, self.used = encode, 0, 0
-        self.start, self.count, self.flat = np.zeros(1024, np.int64), np.zeros(1024, np.int64), np.zeros(8192, np.uint32)
+    def add(self, ids) -> int:
+        self.start.append(len(self.flat))
+        self.count.append(len(ids))
+        self.flat.extend(ids)
+        return len(self.start) - 1
 
-    def __missing__(self, word: bytes) -> int:
+    def get(self, numbers):
+        """The ids of these numbers, one after another."""
         import numpy as np
 
-        ids = self.encode(word.decode("latin-1"))
-        while self.used + len(ids) > len(self.flat):
-            self.flat = np.resize(self.flat, 2 * len(self.flat))
-        if self.n == len(self.start):
-            self.start, self.count = np.resize(self.start, 2 * self.n), np.resize(self.count, 2 * self.n)
-        k = self.n
-        self.flat[self.used : self.used + len(ids)] = ids
-        self.start[k], self.count[k] = self.used, len(ids)
-        self.used += len(ids)
-        self.n += 1
-        self[word] = k
+        if not len(numbers):
+            return np.zeros(0, np.uint32)
+        count = np.frombuffer(self.count, np.int64)[numbers]
+        ends = np.cumsum(count)
+        return np.frombuffer(self.flat, np.uint32)[np.repeat(np.frombuffer(self.start, np.int64)[numbers] - (ends - count), count) + np.arange(ends[-1])]
+
+    def one(self, k: int) -> array:
+        return self.flat[self.start[k] : self.start[k] + self.count[k]]
+
+
+class Known(dict):
+    """Bytes -> number in the store; what is missing is taken from the generation before, or made."""
+
+    def __init__(self, store: Store, make, before: Known | None = None) -> None:
+        self.store, self.make, self.before = store, make, before
+
+    def __missing__(self, x: bytes) -> int:
+        old = None if self.before is None else self.before.get(x)
+        k = self[x] = self.store.add(self.make(x) if old is None else self.before.store.one(old))
         return k
 
 
+def printable() -> dict[int, str]:
+    """The character that stands for each byte in byte-level vocabularies."""
+    plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    odd = iter(range(256, 512))
+    return {b: chr(b) if b in plain else chr(next(odd)) for b in range(256)}
+
+
+def merger(library, spec: dict):
+    """Bytes of a word -> ids, by merging the pair whose union has the least id, where that equals the library's merges; else None.
+
+    It does if ids rise in the order of merges and the library makes each entry of the vocabulary from its own characters: by
+    induction over merges, two neighbours whose union is an entry are then the very pair of that entry's merge, since merges
+    inside a stretch of text that nothing merges across depend on that stretch alone. Both are checked here. A mark for the end
+    of a word is the byte FF, which no UTF-8 text has."""
+    import tiktoken
+
+    model, value = spec["model"], {c: b for b, c in printable().items()}
+    vocab, end = model["vocab"], model.get("end_of_word_suffix") or ""
+    never = printable()[0xF8]
+    special = {t["content"] for t in spec["added_tokens"]}
+    merges = ["".join(m.split(" ") if isinstance(m, str) else m) for m in model["merges"]]
+    merged = [vocab[m] for m in merges]
+    if merged != sorted(set(merged)) or merged and merged[0] < len(vocab) - len(merged) - len(special):
+        return None
+    ranks = {}
+    for piece, k in vocab.items():
+        if piece not in special:
+            last = bool(end) and piece.endswith(end)
+            text = piece[: -len(end)] if last else piece
+            inside = bool(end) and not last  # such an entry never ends a word: a byte that nothing merges with follows
+            if [t.id for t in library.model.tokenize(text + never * inside)] != [k] + [vocab[never + end]] * inside:
+                return None
+            ranks[bytes(value[c] for c in text) + b"\xff" * last] = k
+    if end:
+        ranks.setdefault(b"\xff", 1 << 30)
+    core = tiktoken.Encoding("words", pat_str=r"[\s\S]+", mergeable_ranks=ranks, special_tokens={})
+    mark = b"\xff" if end else b""
+    return lambda word: core._encode_single_piece(word + mark)
+
+
 class Encoder:
     def __init__(self, path: str) -> None:
         import json
 
         from tokenizers import Tokenizer
 
-        self.library = Tokenizer.from_file(path)
+        self.library, spec = Tokenizer.from_file(path), json.load(open(path, encoding="utf-8"))
         self.library.encode_special_tokens = True
-        self.lower = bool(json.load(open(path, encoding="utf-8")).get("normalizer"))
+        self.lower, self.bytes = bool(spec.get("normalizer")), printable()
         self.cut = (WORD_LEVEL if self.lower else BYTE_LEVEL).findall
-        self.words = self.fresh()
-
-    def fresh(self) -> Words:
-        return Words(lambda w: self.library.encode(w, add_special_tokens=False).ids)
+        self.merge = merger(self.library, spec) or self.slow
+        self.words = self.runs = None
+        self.fresh()
+
+    def fresh(self) -> None:
+        """A new generation of the cache; the one before that before is forgotten."""
+        for known in (self.words, self.runs):
+            if known is not None:
+                known.before = None
+        self.store = Store()
+        self.words = Known(self.store, self.word, self.words)
+        self.runs = Known(self.store, self.run, self.runs)  # for word_bpe: between white space; for byte_bpe: after a space
+
+    def slow(self, word: bytes) -> list[int]:
+        return [t.id for t in self.library.model.tokenize(word.decode("latin-1").translate(self.bytes))]
+
+    def word(self, word: bytes) -> list[int]:
+        return self.merge(word if word.isascii() else word.decode("latin-1").encode())
+
+    def run(self, run: bytes):
+        parts = self.cut(run if self.lower else b" " + run)
+        if len(parts) == 1:
+            return self.word(parts[0])
+        out = array("I")
+        for p in parts:
+            out += self.store.one(self.words[p])
+        return out
 
     def ids(self, text: str | None, end: int):
         """The ids of the text and the end id, as an array of unsigned 32-bit numbers."""
@@ -70,16 +147,20 @@ class Encoder:
             raw = None
         if raw is None or raw.translate(None, SAFE):
             return np.array([*self.library.encode(text, add_special_tokens=False).ids, end], np.uint32)
-        if len(self.words) > CACHE:
-            self.words = self.fresh()
-        parts, w = self.cut(raw.translate(LOWER) if self.lower else raw), self.words
-        k = np.fromiter(map(w.__getitem__, parts), np.int64, len(parts))
-        count = w.count[k]
-        ends = np.cumsum(count)
-        out = np.empty((int(ends[-1]) if len(ends) else 0) + 1, np.uint32)
-        out[:-1] = w.flat[np.repeat(w.start[k] - (ends - count), count) + np.arange(len(out) - 1)]
-        out[-1] = end
-        return out
+        if len(self.store.start) > CACHE:
+            self.fresh()
+        first: list[int] = []
+        if self.lower:  # words never hold white space
+            parts, known = raw.translate(LOWER).split(), self.runs
+        elif b"  " in raw:  # white space at which words part in ways that depend on both sides
+            parts, known = self.cut(raw), self.words
+        else:  # a space before anything but a space starts a word
+            parts, known = raw.split(b" "), self.runs
+            first = [self.words[p] for p in self.cut(parts[0])]
+            del parts[0]
+        k = np.fromiter(map(known.__getitem__, parts), np.int64, len(parts))
+        out = self.store.get(np.concatenate([np.array(first, np.int64), k]) if first else k)
+        return np.append(out, np.uint32(end))
 
 
 @lru_cache(maxsize=2)

@@ -17,8 +17,10 @@ def test_ids_equal_the_library(spark, name):
     path = tokens.vocabulary_path(name)
     library, enc, rng = Tokenizer.from_file(path), tokens.Encoder(path), random.Random(1)
     library.encode_special_tokens = True
+    assert enc.merge != enc.slow
     alphabet = "abcdeABCDE  \n\t'slvremtd!?-.,0123éÉßÿÀ\r"
     texts = TRICKY + ["".join(rng.choice(alphabet) for _ in range(rng.randrange(80))) for _ in range(1500)]
+    texts += [" ".join(rng.choice(["a", "\n", "b\n\n", "\nc", "é,", "'s", "\t", "", "\r\n", "x.\ny"]) for _ in range(rng.randrange(9))) for _ in range(1500)]
     texts += [r.text for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").collect()]
     for t in texts:
         assert enc.ids(t, 7).tolist() == library.encode(t or "", add_special_tokens=False).ids + [7], t
@@ -29,7 +31,7 @@ def test_cache_is_bounded(monkeypatch):
     enc = tokens.Encoder(tokens.vocabulary_path("byte_bpe_50k.json"))
     for k in range(40):
         enc.ids(f"w{k} x{k} y{k}", 0)
-    assert len(enc.words) <= 5 + 10
+    assert len(enc.store.start) <= 5 + 10
 
 
 def test_packing_places_every_piece_once(spark):
