@@ -1,0 +1,66 @@
+import itertools
+import math
+import random
+import zlib
+
+from lexibrook.llm import langid
+from lexibrook.llm.tokens import vocabulary_path
+
+PATH = vocabulary_path("piece_bpe_32k.model")
+
+
+def segmentations(edges, i=0):
+    if i == len(edges):
+        yield ()
+    else:
+        for j, k in edges[i]:
+            for rest in segmentations(edges, j):
+                yield (k, *rest)
+
+
+def test_forward_sums_all_segmentations():
+    v, rng = langid.pieces(PATH), random.Random(1)
+    p = [rng.random() / 50 for _ in range(v.other + 1)]
+    for word in ["a", "the", "straße", "entry", "éléments", "qqxß", "ж"]:
+        edges = v.edges(word)
+        whole = sum(math.prod(p[k] for k in s) for s in segmentations(edges))
+        assert math.isclose(langid.forward(edges, p, v.longest), math.log(whole), rel_tol=1e-9)
+        into = [0.0] * len(p)
+        langid.expected(edges, p, 3.0, into)
+        want = [0.0] * len(p)
+        for s in segmentations(edges):
+            for k in s:
+                want[k] += 3 * math.prod(p[x] for x in s) / whole
+        assert all(math.isclose(a, b, abs_tol=1e-9) for a, b in zip(into, want))
+    assert math.isfinite(langid.forward(v.edges("ab" * 30_000), p, v.longest))
+
+
+def test_held_out_accuracy_and_edge_cases(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    model = langid.train(docs, PATH)
+    truth = {r.doc_id: r.lang for r in docs.collect()}
+    got = langid.with_language(docs, model).select("doc_id", langid.held_out().alias("held"), "lang_pred", "score").collect()
+    held = [r for r in got if r.held]
+    assert {r.doc_id for r in held} == {d for d in truth if zlib.crc32(str(d).encode()) % 5 == 0}
+    assert sum(r.lang_pred == truth[r.doc_id] for r in held) >= 0.97 * len(held)
+    assert all(0 <= r.score <= 1 for r in got)
+    odd = [(1, None, "x"), (2, "", "x"), (3, "123 _ ²½ !", "x"), (None, "the and of this", None), (4, "é" * 50_000, "x"), (4, "é" * 50_000, "x"), (5, "日本語", "x")]
+    df = spark.createDataFrame(odd, "doc_id long, text string, lang_pred string")
+    kept = langid.keep_known(df, model)
+    assert kept.columns == df.columns
+    assert sorted(str(r.doc_id) for r in kept.collect()) == ["4", "4", "5", "None"]
+    assert langid.keep_known(df.limit(0), model).count() == 0
+
+
+def test_nothing_to_learn(spark):
+    df = spark.createDataFrame([(1, "a", None)], "doc_id long, text string, lang string")
+    model = langid.train(df, PATH)
+    assert [(r.lang_pred, r.score) for r in langid.with_language(df, model).collect()] == [("und", 0.0)]
+
+
+def test_bound_on_training_rows(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    few = langid.train(docs, PATH, rows=40, rounds=1)
+    assert few.langs and set(few.langs) <= {"de", "en", "es", "fr"}
+    assert all(math.isclose(sum(p), 1, rel_tol=1e-6) for p in few.p)
+    assert len(list(itertools.chain.from_iterable(few.p))) == len(few.langs) * (langid.pieces(PATH).other + 1)
