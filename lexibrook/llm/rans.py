@@ -198,8 +198,14 @@ def counted(ids: DataFrame) -> list[tuple[int, int]]:
 
         total = np.zeros(1 << 16, np.int64)
         for b in batches:
-            for x in b.column(0):
-                total += np.bincount(np.frombuffer(x.as_py(), "<u2"), minlength=1 << 16)
+            held, size = [], 0
+            for x in [*b.column(0), None]:
+                if held and (x is None or size > 1 << 22):
+                    total += np.bincount(np.frombuffer(b"".join(held), "<u2"), minlength=1 << 16)
+                    held, size = [], 0
+                if x is not None:
+                    held.append(x.as_py())
+                    size += len(held[-1])
         k = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(k, pa.int64()), pa.array(total[k])], ["id", "n"])
 

@@ -95,8 +95,8 @@ def merger(library, spec: dict):
     if end:
         ranks.setdefault(b"\xff", 1 << 30)
     core = tiktoken.Encoding("words", pat_str=r"[\s\S]+", mergeable_ranks=ranks, special_tokens={})
-    mark = b"\xff" if end else b""
-    return lambda word: core._encode_single_piece(word + mark)
+    mark, merge = b"\xff" if end else b"", core._core_bpe.encode_single_piece
+    return (lambda word: merge(word + mark)) if mark else merge
 
 
 class Encoder:
@@ -133,8 +133,12 @@ class Encoder:
         if len(parts) == 1:
             return self.word(parts[0])
         out = array("I")
-        for p in parts:
-            out += self.store.one(self.words[p])
+        for p in parts:  # what a run of its own would be is looked up as such
+            if self.lower:
+                k = self.runs[p]
+            else:
+                k = self.runs[p[1:]] if len(p) > 1 and p[0] == 32 else self.words[p]
+            out += self.store.one(k)
         return out
 
     def ids(self, text: str | None, end: int):
