@@ -28,7 +28,7 @@ from pyspark.sql import types as T
 from lexibrook.llm.common import saved, table
 from lexibrook.llm.tokens import vocabulary_path
 
-TRAIN_ROWS, ROUNDS, SMOOTH, CACHE, UNKNOWN, LONG = 20_000, 3, 0.1, 200_000, "und", 48
+TRAIN_ROWS, ROUNDS, SMOOTH, CACHE, UNKNOWN, LONG = 20_000, 3, 0.1, 300_000, "und", 48
 LETTERS = re.compile(r"[^\W\d_]+").findall
 
 
@@ -42,13 +42,28 @@ class Pieces:
         kept = (model.id_to_piece(i) for i in range(model.get_piece_size()) if not (model.is_control(i) or model.is_unknown(i) or model.is_byte(i)))
         self.number = {p: k for k, p in enumerate(p for p in kept if p == p.lower() and p.replace("▁", "", 1).isalpha() or p == "▁")}
         self.other, self.longest = len(self.number), max(map(len, self.number))
+        self.root: dict = {}  # by letter, the pieces that go on with it; "" holds the number of the piece that ends here
+        for piece, k in self.number.items():
+            node = self.root
+            for c in piece:
+                node = node.setdefault(c, {})
+            node[""] = k
 
     def edges(self, word: str) -> list[list[tuple[int, int]]]:
         """By start, the (end, piece) that can stand there."""
-        s, get, out = "▁" + word, self.number.get, []
-        for i in range(len(s)):
-            here = [(j, k) for j in range(i + 1, min(len(s), i + self.longest) + 1) if (k := get(s[i:j])) is not None]
-            out.append(here if here and here[0][0] == i + 1 else [(i + 1, self.other), *here])
+        s, out = "▁" + word, []
+        n, root, other = len(s), self.root, self.other
+        for i in range(n):
+            here, node, j = [], root.get(s[i]), i + 1
+            while node is not None:
+                k = node.get("")
+                if k is not None:
+                    here.append((j, k))
+                if j == n:
+                    break
+                node = node.get(s[j])
+                j += 1
+            out.append(here if here and here[0][0] == i + 1 else [(i + 1, other), *here])
         return out
 
 
@@ -148,20 +163,31 @@ def train(docs: DataFrame, path: str, rows: int = TRAIN_ROWS, rounds: int = ROUN
 
 
 class Scorer(dict):
-    """word -> number of its row of log-probabilities, one for each language; bounded."""
+    """word -> number of its row of log-probabilities, one for each language; two generations of CACHE words."""
 
     def __init__(self, model: Model) -> None:
         import numpy as np
 
-        self.v, self.model, self.rows = pieces(model.path), model, np.zeros((1024, len(model.langs)))
+        self.v, self.model = pieces(model.path), model
+        self.rows, self.before, self.rows_before = np.zeros((1024, len(model.langs))), {}, None
+
+    def renew(self) -> None:
+        import numpy as np
+
+        self.before, self.rows_before, self.rows = dict(self), self.rows, np.zeros_like(self.rows)
+        self.clear()
 
     def __missing__(self, word: str) -> int:
         import numpy as np
 
-        k, edges = len(self), self.v.edges(word)
+        k, old = len(self), self.before.get(word)
         if k == len(self.rows):
             self.rows = np.concatenate([self.rows, np.zeros_like(self.rows)])
-        self.rows[k] = [forward(edges, p, self.v.longest) for p in self.model.p]
+        if old is not None:
+            self.rows[k] = self.rows_before[old]
+        else:
+            edges = self.v.edges(word)
+            self.rows[k] = [forward(edges, p, self.v.longest) for p in self.model.p]
         self[word] = k
         return k
 
@@ -174,7 +200,7 @@ class Scorer(dict):
         total = np.zeros(len(self.model.langs))
         for at in range(0, len(words), CACHE):
             if len(self) > CACHE:
-                self.clear()
+                self.renew()
             part = words[at : at + CACHE]
             numbers = np.fromiter(map(self.__getitem__, part), np.int64, len(part))  # before rows is read: it may grow
             total += self.rows[numbers].sum(axis=0)
