@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 
 from lexibrook.llm.common import components, parallelism, saved, table
 
-COSINE, BUCKET, COMMON, CODES, TILE, SKETCH, APART, SEED = 0.9, 48, 20.0, 10, 1024, 128, 44, 20
+COSINE, BUCKET, COMMON, CODES, TILE, SKETCH, APART, SALT, SEED = 0.9, 48, 20.0, 10, 1024, 128, 44, 32, 20
 
 
 def tails(dim: int):
@@ -270,9 +270,10 @@ def near_vectors(embeddings: DataFrame) -> DataFrame:
     counts = found.groupBy("uid").agg(F.sum("n").alias("n"))
     ids = v.select("uid", "vec_id")
     labelled = ids.join(counts, "uid", "left").join(joined, F.col("uid") == F.col("node"), "left")
-    labelled = labelled.select("vec_id", F.coalesce("n", F.lit(0)).alias("n_links"), "component")
+    labelled = labelled.select("vec_id", F.coalesce("n", F.lit(0)).alias("n_links"), "component", F.pmod("uid", F.lit(SALT)).alias("salt"))
     least = joined.join(ids, F.col("uid") == F.col("node")).groupBy("component").agg(F.min("vec_id").alias("least"))
-    out = labelled.join(least, "component", "left").select("vec_id", "n_links", F.when(F.col("component").isNull(), F.col("vec_id")).otherwise(F.col("least")).alias("component_id"))
+    least = least.select("component", "least", F.explode(F.sequence(F.lit(0), F.lit(SALT - 1))).cast("long").alias("salt"))  # a component can hold a third of all rows
+    out = labelled.join(least, ["component", "salt"], "left").select("vec_id", "n_links", F.when(F.col("component").isNull(), F.col("vec_id")).otherwise(F.col("least")).alias("component_id"))
     return out.withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(False)))
 
 
@@ -280,4 +281,14 @@ def op2_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_vectors(table(spark, sf_dir, "embeddings"))
 
 
-QUERIES, SQL = {"op2_embeddings": op2_embeddings}, {}
+#: All pairs: for the small tables that SQL checks run on.
+OP2 = f"""
+WITH RECURSIVE v AS (SELECT vec_id, embedding::DOUBLE[] AS x FROM embeddings),
+ok AS (SELECT * FROM v WHERE x IS NOT NULL AND len(list_filter(x, lambda c: c IS NULL OR NOT isfinite(c))) = 0 AND len(list_filter(x, lambda c: c <> 0)) > 0),
+e AS (SELECT a.vec_id AS a, b.vec_id AS b FROM ok a JOIN ok b ON a.vec_id <> b.vec_id AND len(a.x) = len(b.x) AND list_cosine_similarity(a.x, b.x) >= {COSINE}),
+r AS (SELECT vec_id AS a, vec_id AS b FROM v UNION SELECT r.a, e.b FROM r JOIN e ON r.b = e.a),
+c AS (SELECT a, min(b) AS component_id FROM r GROUP BY a)
+SELECT vec_id, (SELECT count(*) FROM e WHERE e.a = vec_id) AS n_links, component_id, vec_id = component_id AS kept FROM v JOIN c ON c.a = vec_id
+"""
+
+QUERIES, SQL = {"op2_embeddings": op2_embeddings}, {"op2_embeddings": OP2}

@@ -184,4 +184,14 @@ def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_archives(spark, folder)
 
 
-QUERIES, SQL = {"op3_warc": op3_warc}, {}
+_FIVE = "('0x' || substr(h, 5 * k + 1, 5))::INTEGER"
+_LETTER = "substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', (({v} >> {s}) & 31) + 1, 1)"
+_BASE32 = "list_aggregate(list_transform(range(8), lambda k: " + " || ".join(_LETTER.format(v=_FIVE, s=s) for s in (15, 10, 5, 0)) + "), 'string_agg', '')"
+OP3 = f"""
+WITH p AS (SELECT page_id, coalesce(html, '') AS x, sha1(coalesce(html, '')) AS h FROM pages),
+m AS (SELECT *, max(page_id) OVER (PARTITION BY x) AS top FROM p)
+SELECT page_id, strlen(x)::BIGINT AS payload_bytes, {_BASE32} AS payload_digest,
+  CASE WHEN page_id < top THEN 'revisit' ELSE 'response' END AS record_type, CASE WHEN page_id < top THEN top END AS refers_to FROM m
+"""
+
+QUERIES, SQL = {"op3_warc": op3_warc}, {"op3_warc": OP3}
