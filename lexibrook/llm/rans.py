@@ -1,13 +1,13 @@
 """Token ids in files, by a static range asymmetric numeral system (rANS).
 
 One frequency table, counted over all ids and scaled to 2**20, is shared by all files. A file is a run of blocks of BLOCK ids.
-A block stands alone: LANES interleaved states each code every LANES-th id, and all lanes write 32-bit words to one stream, so
-that a step is a few array operations. A block's head is a checkpoint (first id's number in the file, words, end states' place,
-checksums of the stored bytes and of the ids), and the footer lists all of them, so that blocks can be decoded in parallel.
-The footer also has each document's id and length.
+A block stands alone: LANES interleaved states (as many as ids, in a shorter block) each code every LANES-th id, and all lanes
+write 32-bit words to one stream, so that a step is a few array operations. The footer lists each block's checkpoint (its place,
+its first id's number, checksums of its bytes and of its ids), so that blocks can be decoded in parallel, and each document's id
+and length.
 
     file   := MAGIC head-length head block* footer footer-length MAGIC
-    block  := states of LANES lanes (unsigned 64-bit), words (unsigned 32-bit)
+    block  := states of the lanes (unsigned 64-bit), words (unsigned 32-bit)
 
 Writing: documents are encoded once, into a table; ranges of doc_id, from quantiles over all documents, become partitions, each
 sorted by doc_id and written by one task, which starts a new file every FILE ids. Tasks write under temporary names and rename
@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from lexibrook.llm.common import open_fs, parallelism, saved, shared_dir, table
 from lexibrook.llm.tokens import crc, encoder, vocabulary_path
 
-MAGIC, BITS, LANES, BLOCK, FILE, END = b"LXBRANS1", 20, 1024, 1 << 18, 1 << 24, 0
+MAGIC, BITS, LANES, BLOCK, FILE, END = b"LXBRANS1", 20, 4096, 1 << 20, 1 << 24, 0
 LOW = 1 << 31
 
 
@@ -57,10 +57,11 @@ class Coder:
     def encode(self, ids, lanes: int = LANES) -> bytes:
         import numpy as np
 
+        lanes = min(lanes, len(ids))
         x, words, k = np.full(lanes, LOW, np.uint64), [], np.uint64(32)
         f_all, c_all, bits = self.freq[ids], self.cum[ids], np.uint64(self.bits)
         bound = f_all << np.uint64(63 - self.bits)
-        for at in range((len(ids) - 1) // lanes * lanes, -1, -lanes):
+        for at in range((len(ids) - 1) // lanes * lanes, -1, -lanes) if lanes else ():
             f, c, b = f_all[at : at + lanes], c_all[at : at + lanes], bound[at : at + lanes]
             s = x[: len(f)]
             full = s >= b
@@ -73,10 +74,11 @@ class Coder:
     def decode(self, data: bytes, n: int, lanes: int = LANES):
         import numpy as np
 
+        lanes = min(lanes, n)
         x = np.frombuffer(data, "<u8", lanes).astype(np.uint64)
         words, at, k = np.frombuffer(data, "<u4", offset=8 * lanes).astype(np.uint64), 0, np.uint64(32)
         out, mask, bits, low = np.empty(n, np.uint32), np.uint64((1 << self.bits) - 1), np.uint64(self.bits), np.uint64(LOW)
-        for first in range(0, n, lanes):
+        for first in range(0, n, lanes or 1):
             s = x[: min(lanes, n - first)]
             slot = s & mask
             ids = self.symbol[slot.astype(np.int64)]
@@ -177,19 +179,38 @@ def read_file(fs, path: str, coder: Coder) -> Iterator[tuple]:
             held, have = [whole[n:]], have - n
 
 
+ENCODED = "doc_id long, ids binary, counts binary"
+
+
 def encoded(docs: DataFrame, path: str, end: int = END) -> DataFrame:
-    """(doc_id, ids): ids as little-endian unsigned 16-bit numbers where the vocabulary allows, else 32-bit."""
+    """(doc_id, ids, null) of each document, ids as little-endian unsigned 16-bit numbers; after each batch a row (null, null, counts)
+    of how often each id came in it, as 64-bit pairs, so that counting doesn't read the ids again."""
     import pyarrow as pa
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import numpy as np
+
         enc = encoder(path)
         for b in batches:
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([enc.ids(t, end).astype("<u2").tobytes() for t in b.column(1).to_pylist()], pa.binary())], ["doc_id", "ids"])
+            total, held, size, out = np.zeros(1 << 16, np.int64), [], 0, []
+            for t in [*b.column(1).to_pylist(), None]:
+                if len(out) < b.num_rows:
+                    ids = enc.ids(t, end)
+                    out.append(ids.astype("<u2").tobytes())
+                    held.append(ids)
+                    size += len(ids)
+                if held and (size > 1 << 20 or len(out) == b.num_rows):
+                    total += np.bincount(np.concatenate(held), minlength=1 << 16)
+                    held, size = [], 0
+            k = np.flatnonzero(total)
+            pairs = np.stack([k, total[k]], axis=1).astype("<i8").tobytes()
+            docs = pa.concat_arrays([b.column(0), pa.nulls(1, pa.int64())])
+            yield pa.RecordBatch.from_arrays([docs, pa.array([*out, None], pa.binary()), pa.array([None] * len(out) + [pairs], pa.binary())], ["doc_id", "ids", "counts"])
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, ids binary")
+    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, ENCODED)
 
 
-def counted(ids: DataFrame) -> list[tuple[int, int]]:
+def counted(rows: DataFrame) -> list[tuple[int, int]]:
     """(id, count) over all documents: at most one for each id of the vocabulary."""
     import pyarrow as pa
 
@@ -198,28 +219,23 @@ def counted(ids: DataFrame) -> list[tuple[int, int]]:
 
         total = np.zeros(1 << 16, np.int64)
         for b in batches:
-            held, size = [], 0
-            for x in [*b.column(0), None]:
-                if held and (x is None or size > 1 << 22):
-                    total += np.bincount(np.frombuffer(b"".join(held), "<u2"), minlength=1 << 16)
-                    held, size = [], 0
-                if x is not None:
-                    held.append(x.as_py())
-                    size += len(held[-1])
+            for x in b.column(0).to_pylist():
+                pairs = np.frombuffer(x, "<i8").reshape(-1, 2)
+                total[pairs[:, 0]] += pairs[:, 1]
         k = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(k, pa.int64()), pa.array(total[k])], ["id", "n"])
 
-    return [tuple(r) for r in ids.select("ids").mapInArrow(run, "id long, n long").groupBy("id").agg(F.sum("n")).collect()]
+    return [tuple(r) for r in rows.where("counts is not null").select("counts").mapInArrow(run, "id long, n long").groupBy("id").agg(F.sum("n")).collect()]
 
 
-def write_files(ids: DataFrame, folder: str) -> DataFrame:
-    """Writes ids(doc_id, ids) to the folder; the manifest (name, part, nth, n_docs, n_tokens, bytes) is a table in it."""
+def write_files(rows: DataFrame, folder: str) -> DataFrame:
+    """Writes rows of encoded(), kept in a table, to the folder; the manifest (name, part, nth, n_docs, n_tokens, bytes) is a table in it."""
     import numpy as np
     import pyarrow as pa
 
-    spark = ids.sparkSession
+    spark, ids = rows.sparkSession, rows.where("ids is not null").select("doc_id", "ids")
     freq = np.zeros(1 << 16, np.int64)
-    for k, n in counted(ids):
+    for k, n in counted(rows):
         freq[k] = n
     freq = scaled(freq)
     fs, path = open_fs(folder)
@@ -247,8 +263,8 @@ def write_files(ids: DataFrame, folder: str) -> DataFrame:
         names = ["name", "part", "nth", "n_docs", "n_tokens", "bytes"]
         yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in done], t) for k, t in enumerate(kinds)], names)
 
-    rows = ids.withColumn("part", part).select("part", "doc_id", "ids").repartition(n, "part").sortWithinPartitions("part", "doc_id", F.crc32("ids"))
-    rows.mapInArrow(run, "name string, part int, nth int, n_docs long, n_tokens long, bytes long").write.parquet(f"{folder}/manifest")
+    dealt = ids.withColumn("part", part).select("part", "doc_id", "ids").repartition(n, "part").sortWithinPartitions("part", "doc_id", F.crc32("ids"))
+    dealt.mapInArrow(run, "name string, part int, nth int, n_docs long, n_tokens long, bytes long").write.parquet(f"{folder}/manifest")
     return spark.read.parquet(f"{folder}/manifest")
 
 
