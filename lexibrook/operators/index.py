@@ -11,10 +11,14 @@ from lexibrook.functions.text import STOPWORDS, raw_tokens, text_column
 LIST_SPAN = 4096
 
 
+def occurrences(docs: DataFrame) -> DataFrame:
+    """(doc_id, term): a row for each token."""
+    return docs.select("doc_id", F.explode(raw_tokens(text_column(docs))).alias("term")).where(~F.col("term").isin(*STOPWORDS))
+
+
 def postings(docs: DataFrame) -> DataFrame:
     """One row for each term of each document. doc_ids must be unique: see newest()."""
-    words = docs.select("doc_id", F.explode(raw_tokens(text_column(docs))).alias("term")).where(~F.col("term").isin(*STOPWORDS))
-    return words.groupBy("term", "doc_id").agg(F.count("*").alias("tf"))
+    return occurrences(docs).groupBy("term", "doc_id").agg(F.count("*").alias("tf"))
 
 
 def newest(docs: DataFrame, version: str = "version") -> DataFrame:
@@ -24,8 +28,12 @@ def newest(docs: DataFrame, version: str = "version") -> DataFrame:
 
 
 def write_postings(docs: DataFrame, path: str, mode: str = "overwrite") -> None:
-    """The index as Parquet, in ranges of terms, so that a query's terms meet few row groups."""
-    postings(docs).repartitionByRange("term", "doc_id").sortWithinPartitions("term", "doc_id").write.mode(mode).parquet(path)
+    """The index as Parquet, in ranges of terms, so that a query's terms meet few row groups.
+
+    Ranges of (term, doc_id) already keep a posting's tokens together, so one shuffle serves for counting and for order; a common
+    term is split by doc_id over as many ranges as it needs."""
+    ranges = occurrences(docs).repartitionByRange("term", "doc_id").groupBy("term", "doc_id").agg(F.count("*").alias("tf"))
+    ranges.sortWithinPartitions("term", "doc_id").write.mode(mode).parquet(path)
 
 
 def without(index: DataFrame, removed: DataFrame) -> DataFrame:
