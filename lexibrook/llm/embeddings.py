@@ -272,7 +272,7 @@ def near_vectors(embeddings: DataFrame) -> DataFrame:
     labelled = ids.join(counts, "uid", "left").join(joined, F.col("uid") == F.col("node"), "left")
     labelled = labelled.select("vec_id", F.coalesce("n", F.lit(0)).alias("n_links"), "component", F.pmod("uid", F.lit(SALT)).alias("salt"))
     least = joined.join(ids, F.col("uid") == F.col("node")).groupBy("component").agg(F.min("vec_id").alias("least"))
-    least = least.select("component", "least", F.explode(F.sequence(F.lit(0), F.lit(SALT - 1))).cast("long").alias("salt"))  # a component can hold a third of all rows
+    least = least.select("component", "least", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALT - 1).cast("long"))).alias("salt"))  # a component can hold a third of all rows
     out = labelled.join(least, ["component", "salt"], "left").select("vec_id", "n_links", F.when(F.col("component").isNull(), F.col("vec_id")).otherwise(F.col("least")).alias("component_id"))
     return out.withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(False)))
 
