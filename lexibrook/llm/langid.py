@@ -25,10 +25,10 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lexibrook.llm.common import saved, table
-from lexibrook.llm.tokens import vocabulary_path
+from lexibrook.llm.common import saved, table, values
+from lexibrook.llm.tokens import encoder, vocabulary_path
 
-TRAIN_ROWS, ROUNDS, SMOOTH, CACHE, UNKNOWN, LONG = 20_000, 3, 0.1, 300_000, "und", 48
+TRAIN_ROWS, ROUNDS, SMOOTH, CACHE, UNKNOWN, LONG = 20_000, 3, 0.1, 200_000, "und", 48
 LETTERS = re.compile(r"[^\W\d_]+").findall
 
 
@@ -122,7 +122,7 @@ def word_counts(docs: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             by: dict[str, Counter] = {}
-            for lang, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+            for lang, text in zip(b.column(0).to_pylist(), values(b.column(1))):
                 by.setdefault(lang, Counter()).update(w[k : k + LONG] for w in LETTERS((text or "").lower()) for k in range(0, len(w), LONG))
             rows = [(lang, w, n) for lang, c in by.items() for w, n in c.items()]
             yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate((pa.string(), pa.string(), pa.int64()))], ["lang", "word", "n"])
@@ -215,9 +215,10 @@ def with_language(docs: DataFrame, model: Model, name: str = "lang_pred", score:
     n, at = len(docs.columns), docs.columns.index(text)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        encoder.cache_clear()  # a worker that tokenized before would keep its words
         scorer = Scorer(model)
         for b in batches:
-            got = [scorer.predict(t) for t in b.column(at).to_pylist()]
+            got = [scorer.predict(t) for t in values(b.column(at))]
             yield pa.RecordBatch.from_arrays([*b.columns[:n], pa.array([g[0] for g in got], pa.string()), pa.array([g[1] for g in got], pa.float64())], [*b.schema.names, name, score])
 
     return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField(name, T.StringType()), T.StructField(score, T.DoubleType())]))

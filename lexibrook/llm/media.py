@@ -26,7 +26,7 @@ from functools import lru_cache
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexibrook.llm.common import open_fs, parallelism, saved, shared_dir, table
+from lexibrook.llm.common import open_fs, parallelism, saved, shared_dir, table, values
 
 CUT, LEAST, MOST, LEVEL, RECENT, WAVES, WINDOW, WINDOWS, SEED = 11, 512, 16384, 3, 50_000, 4, 1 << 20, 24, 4
 
@@ -110,7 +110,7 @@ def ingest(docs: DataFrame, folder: str) -> DataFrame:
         pack, known, number, squeeze = Pack(folder), OrderedDict(), 0, zstandard.ZstdCompressor(level=LEVEL, write_content_size=True).compress
         for b in batches:
             rows: list[tuple] = []
-            for doc, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+            for doc, text in zip(b.column(0).to_pylist(), values(b.column(1))):
                 payload, n = payload_of(text)
                 start, medium = 0, f"{pack.name[:32]}-{number}"
                 for nth, end in enumerate(cuts(payload)):

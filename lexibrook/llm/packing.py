@@ -23,7 +23,7 @@ from collections.abc import Iterator
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from lexibrook.llm.common import saved, table
+from lexibrook.llm.common import saved, table, values
 from lexibrook.llm.tokens import crc, encoder, vocabulary_path
 
 CAPACITY, ROUNDS, STEP, SPREAD, END = 4096, 24, 3.0, 256, 1
@@ -37,7 +37,7 @@ def pieces(docs: DataFrame, path: str, capacity: int = CAPACITY, end: int = END)
         enc = encoder(path)
         for b in batches:
             out: list[list] = [[], [], [], [], []]
-            for doc, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+            for doc, text in zip(b.column(0).to_pylist(), values(b.column(1))):
                 ids = enc.ids(text, end)
                 for k, at in enumerate(range(0, len(ids), capacity)):
                     part = ids[at : at + capacity]

@@ -23,11 +23,12 @@ import struct
 import uuid
 import zlib
 from collections.abc import Iterator
+from itertools import chain
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from lexibrook.llm.common import open_fs, parallelism, saved, shared_dir, table
+from lexibrook.llm.common import open_fs, parallelism, saved, shared_dir, table, values
 from lexibrook.llm.tokens import crc, encoder, vocabulary_path
 
 MAGIC, BITS, LANES, BLOCK, FILE, END = b"LXBRANS1", 20, 4096, 1 << 20, 1 << 24, 0
@@ -193,7 +194,7 @@ def encoded(docs: DataFrame, path: str, end: int = END) -> DataFrame:
         enc = encoder(path)
         for b in batches:
             total, held, size, out = np.zeros(1 << 16, np.int64), [], 0, []
-            for t in [*b.column(1).to_pylist(), None]:
+            for t in chain(values(b.column(1)), [None]):
                 if len(out) < b.num_rows:
                     ids = enc.ids(t, end)
                     out.append(ids.astype("<u2").tobytes())

@@ -3,7 +3,7 @@
 Both vocabularies cut a text into words before anything is merged, so ids of a text are the ids of its words in order. Texts
 whose characters are all in SAFE (ASCII and the letters of Latin-1) are cut here, on Latin-1 bytes: first at spaces, then each
 unseen run into words, and each unseen word is merged. Runs and words are kept in a cache of two generations of CACHE entries
-(about 200 MB), so memory is bounded. All other texts go whole to the library."""
+(at most about 190 MB), so memory is bounded. All other texts go whole to the library."""
 
 from __future__ import annotations
 
@@ -18,7 +18,7 @@ SUFFIX = rb"'s|'t|'re|'ve|'m|'ll|'d|"
 BYTE_LEVEL = re.compile(SUFFIX + rb" ?[%b]+| ?[0-9]+| ?[^\s0-9%b]+|\s+(?!\S)|\s+" % (LETTERS, LETTERS))
 WORD_LEVEL = re.compile(SUFFIX + rb"[%b]+|[0-9]|[^\s0-9%b]+" % (LETTERS, LETTERS))
 LOWER = bytes(i + 32 if 65 <= i <= 90 or 0xC0 <= i <= 0xDE and i != 0xD7 else i for i in range(256))
-CACHE = 500_000
+CACHE = 300_000
 
 
 class Store:
