@@ -192,14 +192,15 @@ def encoded(docs: DataFrame, path: str, end: int = END) -> DataFrame:
         import numpy as np
 
         enc = encoder(path)
+        if enc.kind != "H":
+            raise ValueError("these files hold ids below 65,536")
         for b in batches:
             total, held, size, out = np.zeros(1 << 16, np.int64), [], 0, []
             for t in chain(values(b.column(1)), [None]):
                 if len(out) < b.num_rows:
-                    ids = enc.ids(t, end)
-                    out.append(ids.astype("<u2").tobytes())
-                    held.append(ids)
-                    size += len(ids)
+                    out.append(enc.packed(t, end))
+                    held.append(np.frombuffer(out[-1], "<u2"))
+                    size += len(held[-1])
                 if held and (size > 1 << 20 or len(out) == b.num_rows):
                     total += np.bincount(np.concatenate(held), minlength=1 << 16)
                     held, size = [], 0

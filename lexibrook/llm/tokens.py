@@ -2,8 +2,8 @@
 
 Both vocabularies cut a text into words before anything is merged, so ids of a text are the ids of its words in order. Texts
 whose characters are all in SAFE (ASCII and the letters of Latin-1) are cut here, on Latin-1 bytes: first at spaces, then each
-unseen run into words, and each unseen word is merged. Runs and words are kept in a cache of two generations of CACHE entries
-(at most about 190 MB), so memory is bounded. All other texts go whole to the library."""
+unseen run into words, and each unseen word is merged. Runs and words are kept with their packed ids in a cache of two generations
+of CACHE entries (about 80 MB), so memory is bounded. All other texts go whole to the library."""
 
 from __future__ import annotations
 
@@ -21,42 +21,18 @@ LOWER = bytes(i + 32 if 65 <= i <= 90 or 0xC0 <= i <= 0xDE and i != 0xD7 else i
 CACHE = 300_000
 
 
-class Store:
-    """Ids one after another; those of number k are flat[start[k] : start[k] + count[k]]."""
-
-    def __init__(self) -> None:
-        self.start, self.count, self.flat = array("q"), array("q"), array("I")
-
-    def add(self, ids) -> int:
-        self.start.append(len(self.flat))
-        self.count.append(len(ids))
-        self.flat.extend(ids)
-        return len(self.start) - 1
-
-    def get(self, numbers):
-        """The ids of these numbers, one after another."""
-        import numpy as np
-
-        if not len(numbers):
-            return np.zeros(0, np.uint32)
-        count = np.frombuffer(self.count, np.int64)[numbers]
-        ends = np.cumsum(count)
-        return np.frombuffer(self.flat, np.uint32)[np.repeat(np.frombuffer(self.start, np.int64)[numbers] - (ends - count), count) + np.arange(ends[-1])]
-
-    def one(self, k: int) -> array:
-        return self.flat[self.start[k] : self.start[k] + self.count[k]]
-
-
 class Known(dict):
-    """Bytes -> number in the store; what is missing is taken from the generation before, or made."""
+    """Bytes -> their packed ids; what is missing is taken from the generation before, or made."""
 
-    def __init__(self, store: Store, make, before: Known | None = None) -> None:
-        self.store, self.make, self.before = store, make, before
+    def __init__(self, make, before: dict | None = None) -> None:
+        self.make, self.before = make, before or {}
 
-    def __missing__(self, x: bytes) -> int:
-        old = None if self.before is None else self.before.get(x)
-        k = self[x] = self.store.add(self.make(x) if old is None else self.before.store.one(old))
-        return k
+    def __missing__(self, x: bytes) -> bytes:
+        got = self.before.get(x)
+        if got is None:
+            got = self.make(x)
+        self[x] = got
+        return got
 
 
 def printable() -> dict[int, str]:
@@ -110,61 +86,55 @@ class Encoder:
         self.lower, self.bytes = bool(spec.get("normalizer")), printable()
         self.cut = (WORD_LEVEL if self.lower else BYTE_LEVEL).findall
         self.merge = merger(self.library, spec) or self.slow
-        self.words = self.runs = None
-        self.fresh()
+        self.kind = "H" if self.library.get_vocab_size() <= 1 << 16 else "I"
+        self.words, self.runs = Known(self.word), Known(self.run)  # runs: in word_bpe between white space, in byte_bpe after a space
 
     def fresh(self) -> None:
         """A new generation of the cache; the one before that before is forgotten."""
         for known in (self.words, self.runs):
-            if known is not None:
-                known.before = None
-        self.store = Store()
-        self.words = Known(self.store, self.word, self.words)
-        self.runs = Known(self.store, self.run, self.runs)  # for word_bpe: between white space; for byte_bpe: after a space
+            known.before = {}
+        self.words, self.runs = Known(self.word, self.words), Known(self.run, self.runs)
 
     def slow(self, word: bytes) -> list[int]:
         return [t.id for t in self.library.model.tokenize(word.decode("latin-1").translate(self.bytes))]
 
-    def word(self, word: bytes) -> list[int]:
-        return self.merge(word if word.isascii() else word.decode("latin-1").encode())
+    def word(self, word: bytes) -> bytes:
+        return array(self.kind, self.merge(word if word.isascii() else word.decode("latin-1").encode())).tobytes()
 
-    def run(self, run: bytes):
+    def run(self, run: bytes) -> bytes:
         parts = self.cut(run if self.lower else b" " + run)
         if len(parts) == 1:
             return self.word(parts[0])
-        out = array("I")
-        for p in parts:  # what a run of its own would be is looked up as such
-            if self.lower:
-                k = self.runs[p]
-            else:
-                k = self.runs[p[1:]] if len(p) > 1 and p[0] == 32 else self.words[p]
-            out += self.store.one(k)
-        return out
-
-    def ids(self, text: str | None, end: int):
-        """The ids of the text and the end id, as an array of unsigned 32-bit numbers."""
-        import numpy as np
+        if self.lower:
+            return b"".join([self.runs[p] for p in parts])
+        return b"".join([self.runs[p[1:]] if len(p) > 1 and p[0] == 32 else self.words[p] for p in parts])  # what a run of its own would be is looked up as such
 
+    def packed(self, text: str | None, end: int) -> bytes:
+        """The ids of the text and the end id, as unsigned numbers of `kind`."""
+        last = array(self.kind, [end]).tobytes()
         try:
             raw = (text or "").encode("latin-1")
         except UnicodeEncodeError:
             raw = None
         if raw is None or raw.translate(None, SAFE):
-            return np.array([*self.library.encode(text, add_special_tokens=False).ids, end], np.uint32)
-        if len(self.store.start) > CACHE:
+            return array(self.kind, self.library.encode(text, add_special_tokens=False).ids).tobytes() + last
+        if len(self.words) + len(self.runs) > CACHE:
             self.fresh()
-        first: list[int] = []
         if self.lower:  # words never hold white space
-            parts, known = raw.translate(LOWER).split(), self.runs
-        elif b"  " in raw:  # white space at which words part in ways that depend on both sides
-            parts, known = self.cut(raw), self.words
-        else:  # a space before anything but a space starts a word
-            parts, known = raw.split(b" "), self.runs
-            first = [self.words[p] for p in self.cut(parts[0])]
-            del parts[0]
-        k = np.fromiter(map(known.__getitem__, parts), np.int64, len(parts))
-        out = self.store.get(np.concatenate([np.array(first, np.int64), k]) if first else k)
-        return np.append(out, np.uint32(end))
+            return b"".join(map(self.runs.__getitem__, raw.translate(LOWER).split())) + last
+        if b"  " in raw:  # white space at which words part in ways that depend on both sides
+            return b"".join(map(self.words.__getitem__, self.cut(raw))) + last
+        first, *rest = raw.split(b" ")  # a space before anything but a space starts a word
+        return b"".join([*map(self.words.__getitem__, self.cut(first)), *map(self.runs.__getitem__, rest), last])
+
+    def ids(self, text: str | None, end: int):
+        """The same as an array of unsigned 32-bit numbers."""
+        return self.unpacked(self.packed(text, end))
+
+    def unpacked(self, data: bytes):
+        import numpy as np
+
+        return np.frombuffer(data, self.kind).astype(np.uint32)
 
 
 @lru_cache(maxsize=2)

@@ -31,7 +31,7 @@ def test_cache_is_bounded(monkeypatch):
     enc = tokens.Encoder(tokens.vocabulary_path("byte_bpe_50k.json"))
     for k in range(40):
         enc.ids(f"w{k} x{k} y{k}", 0)
-    assert len(enc.store.start) <= 5 + 10
+    assert len(enc.words) + len(enc.runs) <= 5 + 10
 
 
 def test_packing_places_every_piece_once(spark):
