@@ -10,7 +10,8 @@ vectors of cosine COSINE pass COMMON filters together on average; both come from
 so this holds for any pair whatever the data. One code alone, whose filters depend on each other, would miss a tenth of the pairs
 at the very threshold; ten miss less than one in a thousand there (measured at 500, 51,282 and 3,000,000 vectors) and fewer above.
 
-Filters are first joined as light rows: a vector's id and a sketch of SKETCH signs. In a filter of at most TILE vectors only those
+Equal vectors are one row with its number of copies, which counts them as links; so a group of copies, however large, costs no
+comparison. Filters are first joined as light rows: a vector's id and a sketch of SKETCH signs. In a filter of at most TILE vectors only those
 with a neighbour whose sketch differs in at most APART signs go on (over six standard deviations beyond what the threshold gives).
 Vectors themselves are dealt once, by filter; a filter with more than TILE vectors is dealt as tiles of two blocks of it, each
 compared in a bounded matrix. A pair is counted in the least filter that has both. No pairs are written: a tile gives each vector's
@@ -196,8 +197,8 @@ def active(batches: Iterator) -> Iterator:
     yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], pa.int64()) for k in range(2)], ["uid", "f"])
 
 
-def compared(x, filters: list[list[int]], sides, f: int):
-    """(links of each row that are counted here, least row of its part) of a tile; sides: the block of each row, which differs in pairs, or None."""
+def compared(x, filters: list[list[int]], sides, f: int, weight):
+    """(links of each row that are counted here, least row of its part) of a tile; sides: the block of each row, which differs in pairs, or None; weight: copies of each row."""
     import numpy as np
 
     near = x @ x.T >= COSINE
@@ -229,18 +230,18 @@ def compared(x, filters: list[list[int]], sides, f: int):
             member = np.zeros((len(x), 2048), np.float32)
             member[row[here], column[here] - at] = 1
             near &= ~(member @ member.T > 0)
-    return near.sum(axis=1), label
+    return near @ weight, label
 
 
 def tiles(batches: Iterator) -> Iterator:
-    """Rows (f, i, j, block, uid, x, fs) in order of (f, i, j): (uid, n, root) of rows with links."""
+    """Rows (f, i, j, block, uid, x, fs, copies) in order of (f, i, j): (uid, n, root) of rows with links."""
     import numpy as np
     import pyarrow as pa
 
     out: list[tuple] = []
     for key, rows in runs(batches, 3):
         if len(rows) > 1:
-            got = compared(units([r[2] for r in rows]), [r[3] for r in rows], np.array([r[0] for r in rows]) if key[1] != key[2] else None, key[0])
+            got = compared(units([r[2] for r in rows]), [r[3] for r in rows], np.array([r[0] for r in rows]) if key[1] != key[2] else None, key[0], np.array([r[4] for r in rows], np.int64))
             for r, n, k in zip(rows, got[0].tolist(), got[1].tolist()) if got else ():
                 if n or rows[k][1] != r[1]:
                     out.append((r[1], n, rows[k][1]))
@@ -252,26 +253,27 @@ def tiles(batches: Iterator) -> Iterator:
 
 def near_vectors(embeddings: DataFrame) -> DataFrame:
     """(vec_id, n_links, component_id, kept) of each row of embeddings(vec_id, embedding)."""
-    spark, n = embeddings.sparkSession, parallelism(embeddings.sparkSession)
-    v = saved(packed(embeddings.select(F.monotonically_increasing_id().alias("uid"), F.col("vec_id").cast("long"), F.col("embedding").cast("array<double>"))), "vectors")
-    able = v.where("x is not null").select("uid", "x")
-    passed = saved(filtered(able, able.count()), "vectors-filters").select("uid", "sketch", F.explode("filters").alias("f"))
+    n = parallelism(embeddings.sparkSession)
+    v = saved(packed(embeddings.select(F.monotonically_increasing_id().alias("uid"), F.col("vec_id").cast("long"), F.col("embedding").cast("array<double>"))).withColumn("digest", F.unhex(F.sha2("x", 256))), "vectors")
+    able = saved(v.where("x is not null").groupBy("digest", "x").agg(F.min("uid").alias("uid"), F.count("*").alias("copies")), "vectors-distinct")
+    passed = saved(filtered(able.select("uid", "x"), able.count()), "vectors-filters").select("uid", "sketch", F.explode("filters").alias("f"))
     full = passed.groupBy("f").agg(F.count("*").alias("n")).where("n > 1").select("f", F.ceil(F.col("n") / TILE).cast("int").alias("blocks"))
     met = saved(passed.join(full, "f"), "vectors-met")
     few = met.where("blocks = 1").select("f", "uid", "sketch").repartition(n, "f").sortWithinPartitions("f").mapInArrow(active, "uid long, f long").withColumn("blocks", F.lit(1))
     own = few.unionByName(met.where("blocks > 1").select("uid", "f", "blocks")).groupBy("uid").agg(F.array_sort(F.collect_list(F.struct("f", "blocks"))).alias("own"))  # a vector's filters, some 50
-    heavy = v.select("uid", "x").join(own, "uid").select("uid", "x", F.transform("own", lambda o: o.f).alias("fs"), F.explode("own").alias("o")).select("uid", "x", "fs", "o.f", "o.blocks")
+    heavy = able.join(own, "uid").select("uid", "x", "copies", F.transform("own", lambda o: o.f).alias("fs"), F.explode("own").alias("o")).select("uid", "x", "copies", "fs", "o.f", "o.blocks")
     heavy = heavy.withColumn("block", F.pmod(F.xxhash64("uid"), F.col("blocks")).cast("int"))
     heavy = heavy.select("*", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
-    dealt = heavy.select("f", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "uid", "x", "fs")
+    dealt = heavy.select("f", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "uid", "x", "fs", "copies")
     dealt = dealt.repartition(n, "f", "i", "j").sortWithinPartitions("f", "i", "j")
     found = saved(dealt.mapInArrow(tiles, "uid long, n long, root long").groupBy("uid", "root").agg(F.sum("n").alias("n")), "vectors-links")
     joined = components(found.where("uid <> root").select(F.col("uid").alias("a"), F.col("root").alias("b")), "vectors-components")
     counts = found.groupBy("uid").agg(F.sum("n").alias("n"))
-    ids = v.select("uid", "vec_id")
-    labelled = ids.join(counts, "uid", "left").join(joined, F.col("uid") == F.col("node"), "left")
-    labelled = labelled.select("vec_id", F.coalesce("n", F.lit(0)).alias("n_links"), "component", F.pmod("uid", F.lit(SALT)).alias("salt"))
-    least = joined.join(ids, F.col("uid") == F.col("node")).groupBy("component").agg(F.min("vec_id").alias("least"))
+    classes = able.select("digest", "uid", "copies").join(counts, "uid", "left").join(joined, F.col("uid") == F.col("node"), "left")
+    classes = classes.select("digest", (F.coalesce("n", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("component", F.when(F.col("copies") > 1, F.col("uid"))).alias("component"))
+    labelled = v.select("uid", "vec_id", "digest").join(classes, "digest", "left")
+    labelled = saved(labelled.select("vec_id", F.coalesce("n_links", F.lit(0)).alias("n_links"), "component", F.pmod("uid", F.lit(SALT)).alias("salt")), "vectors-labelled")
+    least = labelled.where("component is not null").groupBy("component").agg(F.min("vec_id").alias("least"))
     least = least.select("component", "least", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALT - 1).cast("long"))).alias("salt"))  # a component can hold a third of all rows
     out = labelled.join(least, ["component", "salt"], "left").select("vec_id", "n_links", F.when(F.col("component").isNull(), F.col("vec_id")).otherwise(F.col("least")).alias("component_id"))
     return out.withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(False)))

@@ -39,6 +39,17 @@ def test_links_and_components_match_brute_force(spark, monkeypatch, groups, alon
     assert all(r.kept == (r.vec_id == r.component_id) for r in got.values())
 
 
+def test_copies_count_as_links(spark, monkeypatch):
+    monkeypatch.setattr(embeddings, "TILE", 64)
+    x = made(7, [(60, 0.2), (30, 0.45)], 100).astype(np.float32)
+    x = x[np.random.default_rng(8).integers(0, len(x), 700) // 2]  # two to many copies of half of them
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<float>")
+    got = {r.vec_id: r for r in embeddings.near_vectors(df).collect()}
+    links, label = brute(x.astype(np.float64))
+    assert [got[i].n_links for i in range(len(x))] == links.tolist()
+    assert [got[i].component_id for i in range(len(x))] == label.tolist()
+
+
 def test_edge_cases(spark):
     a = [1.0] + [0.0] * 7
     nan, inf = float("nan"), float("inf")
