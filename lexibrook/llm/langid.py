@@ -11,14 +11,14 @@ and piece, whatever the input's size. Prediction sees the text alone.
 
 Edge cases: null text, or text without a letter, is `und` with score 0; so is everything if nothing can be learned; null doc_ids
 are never trained on and count as held out; repeated rows give one row each; an empty table gives no rows. A word of any
-length is scored whole, with rescaling against underflow."""
+length is scored whole; one of over SHORT letters, by itself with rescaling against underflow."""
 
 from __future__ import annotations
 
 import math
 import re
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from functools import lru_cache
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -28,7 +28,8 @@ from pyspark.sql import types as T
 from lexibrook.llm.common import saved, table, values
 from lexibrook.llm.tokens import encoder, vocabulary_path
 
-TRAIN_ROWS, ROUNDS, SMOOTH, CACHE, UNKNOWN, LONG = 20_000, 3, 0.1, 200_000, "und", 48
+TRAIN_ROWS, ROUNDS, SMOOTH, CACHE, UNKNOWN, LONG = 20_000, 3, 0.1, 300_000, "und", 48
+SHORT, STRETCH = 24, 50_000
 LETTERS = re.compile(r"[^\W\d_]+").findall
 
 
@@ -42,12 +43,12 @@ class Pieces:
         kept = (model.id_to_piece(i) for i in range(model.get_piece_size()) if not (model.is_control(i) or model.is_unknown(i) or model.is_byte(i)))
         self.number = {p: k for k, p in enumerate(p for p in kept if p == p.lower() and p.replace("▁", "", 1).isalpha() or p == "▁")}
         self.other, self.longest = len(self.number), max(map(len, self.number))
-        self.root: dict = {}  # by letter, the pieces that go on with it; "" holds the number of the piece that ends here
+        self.root: dict = {}  # by letter, the pieces that go on with it; "" holds the number and, in the low byte, the length of the piece that ends here
         for piece, k in self.number.items():
             node = self.root
             for c in piece:
                 node = node.setdefault(c, {})
-            node[""] = k
+            node[""] = k << 8 | len(piece)
 
     def edges(self, word: str) -> list[list[tuple[int, int]]]:
         """By start, the (end, piece) that can stand there."""
@@ -56,9 +57,9 @@ class Pieces:
         for i in range(n):
             here, node, j = [], root.get(s[i]), i + 1
             while node is not None:
-                k = node.get("")
-                if k is not None:
-                    here.append((j, k))
+                code = node.get("")
+                if code is not None:
+                    here.append((j, code >> 8))
                 if j == n:
                     break
                 node = node.get(s[j])
@@ -67,6 +68,24 @@ class Pieces:
         return out
 
 
+    def add_edges(self, word: str, codes: list[int], counts: list[int]) -> None:
+        """Adds the number and length, as in root, of each piece that can stand in the word, and how many start at each position."""
+        s, root = "▁" + word, self.root
+        n = len(s)
+        for i in range(n):
+            node, j, before = root.get(s[i]), i + 1, len(codes)
+            while node is not None:
+                if "" in node:
+                    codes.append(node[""])
+                if j == n:
+                    break
+                node = node.get(s[j])
+                j += 1
+            if len(codes) == before or codes[before] & 255 != 1:
+                codes.append(self.other << 8 | 1)
+            counts.append(len(codes) - before)
+
+
 @lru_cache(maxsize=1)
 def pieces(path: str) -> Pieces:
     return Pieces(path)
@@ -162,50 +181,90 @@ def train(docs: DataFrame, path: str, rows: int = TRAIN_ROWS, rounds: int = ROUN
     return Model(path, langs, p)
 
 
-class Scorer(dict):
-    """word -> number of its row of log-probabilities, one for each language; two generations of CACHE words."""
+class Scorer:
+    """Scores texts by their words' log-probabilities, one row for each known word; keeps two generations of CACHE words."""
 
     def __init__(self, model: Model) -> None:
         import numpy as np
 
         self.v, self.model = pieces(model.path), model
-        self.rows, self.before, self.rows_before = np.zeros((1024, len(model.langs))), {}, None
+        self.p = np.array(model.p).T.copy()  # by piece, a number for each language
+        self.known, self.before, self.rows, self.rows_before = {}, {}, np.zeros((1024, len(model.langs))), None
 
     def renew(self) -> None:
         import numpy as np
 
-        self.before, self.rows_before, self.rows = dict(self), self.rows, np.zeros_like(self.rows)
-        self.clear()
+        self.before, self.rows_before, self.known, self.rows = self.known, self.rows, {}, np.zeros_like(self.rows)
 
-    def __missing__(self, word: str) -> int:
+    def forwards(self, words: list[str]):
+        """forward() of these words of at most SHORT letters in each language, all words and languages of a position in one step."""
         import numpy as np
 
-        k, old = len(self), self.before.get(word)
-        if k == len(self.rows):
+        width, codes, counts = SHORT + 2, [], []
+        for word in words:
+            self.v.add_edges(word, codes, counts)
+        lengths = np.array([len(x) + 1 for x in words])
+        first = np.repeat(np.arange(len(words)) * width - np.concatenate([[0], np.cumsum(lengths)[:-1]]), lengths) + np.arange(len(counts))  # each position's row
+        row, codes = np.repeat(first, counts), np.array(codes, np.int64)
+        i = row % width
+        order = np.argsort(i, kind="stable")
+        source, codes, steps = row[order], codes[order], np.searchsorted(i[order], np.arange(width))
+        target, k = source + (codes & 255), codes >> 8
+        a = np.zeros((len(words) * width, self.p.shape[1]))
+        a[::width] = 1.0
+        for at, end in zip(steps, steps[1:]):  # edges from one position of a word end at different ones
+            a[target[at:end]] += a[source[at:end]] * self.p[k[at:end]]
+        return np.log(a[np.arange(len(words)) * width + lengths])
+
+    def learn(self, words: set[str]) -> None:
+        """Gives these words their rows."""
+        import numpy as np
+
+        first, new = len(self.known), sorted(words)
+        while len(self.rows) < first + len(new):
             self.rows = np.concatenate([self.rows, np.zeros_like(self.rows)])
-        if old is not None:
-            self.rows[k] = self.rows_before[old]
-        else:
-            edges = self.v.edges(word)
-            self.rows[k] = [forward(edges, p, self.v.longest) for p in self.model.p]
-        self[word] = k
-        return k
-
-    def predict(self, text: str | None) -> tuple[str, float]:
+        self.known.update(zip(new, range(first, first + len(new))))
+        old = [(self.known[w], self.before[w]) for w in new if w in self.before]
+        if old:
+            to, at = np.array(old).T
+            self.rows[to] = self.rows_before[at]
+            new = [w for w in new if w not in self.before]
+        short = [w for w in new if len(w) <= SHORT]
+        step = max(64, 400_000 // (SHORT * self.p.shape[1]))
+        for at in range(0, len(short), step):
+            part = short[at : at + step]
+            self.rows[[self.known[w] for w in part]] = self.forwards(part)
+        for w in (w for w in new if len(w) > SHORT):
+            edges = self.v.edges(w)
+            self.rows[self.known[w]] = [forward(edges, p, self.v.longest) for p in self.model.p]
+
+    def predict(self, texts: Iterable[str | None]) -> list[tuple[str, float]]:
+        """(language, score) of each text; words are looked up for a stretch of texts of about STRETCH words at a time."""
         import numpy as np
 
-        words = LETTERS((text or "").lower())
-        if not self.model.langs or not any(c.isalpha() for w in words for c in w):
-            return UNKNOWN, 0.0
-        total = np.zeros(len(self.model.langs))
-        for at in range(0, len(words), CACHE):
-            if len(self) > CACHE:
+        if not self.model.langs:
+            return [(UNKNOWN, 0.0) for _ in texts]
+        totals, held, size = [], [], 0
+
+        def flush() -> None:
+            if len(self.known) > CACHE:
                 self.renew()
-            part = words[at : at + CACHE]
-            numbers = np.fromiter(map(self.__getitem__, part), np.int64, len(part))  # before rows is read: it may grow
-            total += self.rows[numbers].sum(axis=0)
-        best = int(total.argmax())
-        return self.model.langs[best], float(1 / np.exp(total - total[best]).sum())
+            self.learn({w for _, part in held for w in part if w not in self.known})
+            for n, part in held:
+                totals[n] += self.rows[np.fromiter(map(self.known.__getitem__, part), np.int64, len(part))].sum(axis=0)
+            held.clear()
+
+        for n, text in enumerate(texts):
+            words = LETTERS((text or "").lower())
+            totals.append(np.zeros(len(self.model.langs)) if any(c.isalpha() for w in words for c in w) else None)
+            for at in range(0, len(words) if totals[n] is not None else 0, STRETCH):
+                held.append((n, words[at : at + STRETCH]))
+                size += len(held[-1][1])
+                if size >= STRETCH:
+                    flush()
+                    size = 0
+        flush()
+        return [(UNKNOWN, 0.0) if t is None else (self.model.langs[int(t.argmax())], float(1 / np.exp(t - t.max()).sum())) for t in totals]
 
 
 def with_language(docs: DataFrame, model: Model, name: str = "lang_pred", score: str = "score", text: str = "text") -> DataFrame:
@@ -218,7 +277,7 @@ def with_language(docs: DataFrame, model: Model, name: str = "lang_pred", score:
         encoder.cache_clear()  # a worker that tokenized before would keep its words
         scorer = Scorer(model)
         for b in batches:
-            got = [scorer.predict(t) for t in values(b.column(at))]
+            got = scorer.predict(values(b.column(at)))
             yield pa.RecordBatch.from_arrays([*b.columns[:n], pa.array([g[0] for g in got], pa.string()), pa.array([g[1] for g in got], pa.float64())], [*b.schema.names, name, score])
 
     return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField(name, T.StringType()), T.StructField(score, T.DoubleType())]))

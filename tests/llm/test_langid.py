@@ -35,6 +35,24 @@ def test_forward_sums_all_segmentations():
     assert math.isfinite(langid.forward(v.edges("ab" * 30_000), p, v.longest))
 
 
+def test_words_in_steps_score_as_alone(monkeypatch):
+    monkeypatch.setattr(langid, "CACHE", 40)
+    monkeypatch.setattr(langid, "STRETCH", 16)
+    v, rng = langid.pieces(PATH), random.Random(2)
+    model = langid.Model(PATH, ["a", "b", "c"], [[rng.random() / 50 for _ in range(v.other + 1)] for _ in range(3)])
+    words = ["".join(rng.choices("abceéßж", k=rng.choice([1, 3, 8, 24, 25, 60]))) for _ in range(90)]
+    texts = [" ".join(rng.choices(words, k=rng.choice([0, 1, 5, 40]))) for _ in range(60)] + [None, "12"]
+    scorer = langid.Scorer(model)
+    for t, (lang, score) in zip(texts, scorer.predict(iter(texts))):
+        own = [sum(langid.forward(v.edges(w), p, v.longest) for w in (t or "").split()) for p in model.p]
+        if not t or t == "12":
+            assert (lang, score) == ("und", 0.0)
+        else:
+            assert lang == "abc"[own.index(max(own))]
+            assert math.isclose(score, 1 / sum(math.exp(x - max(own)) for x in own), rel_tol=1e-6)
+    assert len(scorer.known) <= 40 + 16
+
+
 def test_held_out_accuracy_and_edge_cases(spark):
     docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
     model = langid.train(docs, PATH)
