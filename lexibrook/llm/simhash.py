@@ -48,15 +48,17 @@ def fingerprint_bits(text: str | None, shingle: int = 3) -> int:
     return int(np.packbits(total * 2 > n, bitorder="little").view(np.int64)[0])
 
 
-def with_fingerprints(docs: DataFrame, shingle: int = 3) -> DataFrame:
-    """(doc_id, fp) of every row of docs."""
+def with_fingerprints(docs: DataFrame, shingle: int = 3, hashed: bool = False) -> DataFrame:
+    """(doc_id, fp) of every row of docs; with hashed, also the hash of all its columns, as row."""
     import pyarrow as pa
 
+    more = [F.xxhash64(*docs.columns).alias("row")] if hashed else []
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([fingerprint_bits(t, shingle) for t in values(b.column(1))], pa.int64())], ["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([fingerprint_bits(t, shingle) for t in values(b.column(1))], pa.int64()), *b.columns[2:]], ["doc_id", "fp", "row"][: b.num_columns])
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, fp long")
+    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"), *more).mapInArrow(run, "doc_id long, fp long" + ", row long" * hashed)
 
 
 def covering(bits: list[int], radius: int = RADIUS) -> list[int]:
@@ -121,15 +123,19 @@ def links(fps: DataFrame) -> DataFrame:
     return found.distinct()
 
 
-def near_duplicates(docs: DataFrame) -> DataFrame:
-    """(doc_id, fp, component_id) of every row: component_id is the least doc_id that links reach."""
-    ids = saved(with_fingerprints(docs), "simhash-fingerprints")
+def grouped(ids: DataFrame) -> DataFrame:
+    """ids with component (a fingerprint) and component_id (the least doc_id that links reach) of every row."""
     classes = saved(ids.groupBy("fp").agg(F.min("doc_id").alias("least")), "simhash-classes")
     joined = components(links(classes), "simhash-components")
     labelled = classes.join(joined, classes.fp == joined.node, "left").select("fp", "least", F.coalesce("component", "fp").alias("component"))
     least = labelled.groupBy("component").agg(F.min("least").alias("component_id"))
-    of_fp = labelled.join(least, "component").select("fp", "component_id")
-    return ids.join(of_fp, "fp").select("doc_id", "fp", "component_id")
+    of_fp = labelled.join(least, "component").select("fp", "component", "component_id")
+    return ids.join(of_fp, "fp")
+
+
+def near_duplicates(docs: DataFrame) -> DataFrame:
+    """(doc_id, fp, component_id) of every row: component_id is the least doc_id that links reach."""
+    return grouped(saved(with_fingerprints(docs), "simhash-fingerprints")).select("doc_id", "fp", "component_id")
 
 
 def hex16(fp: str) -> Column:
@@ -137,14 +143,16 @@ def hex16(fp: str) -> Column:
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
-    """docs without near-duplicates: of each group the document of the least doc_id stays, once, with its own columns.
-
-    Rows that share that doc_id count as copies: the one with the least hash of all columns stays. Rows without a doc_id,
-    whose group can't be named, stay."""
-    kept = near_duplicates(docs).where("doc_id = component_id").select("doc_id").distinct()
-    first = F.row_number().over(Window.partitionBy("doc_id").orderBy(F.xxhash64(*docs.columns)))
-    one = docs.select(F.struct(*docs.columns).alias("row"), "doc_id", first.alias("nth")).where("nth = 1 and doc_id is not null")
-    return one.join(kept, "doc_id", "left_semi").select("row.*").unionByName(docs.where("doc_id is null"))
+    """docs without near-duplicates: of each group the row of the least doc_id stays, once, with its own columns.
+
+    If several rows of the group have that doc_id, the one with the least hash of all columns stays; rows that share a doc_id but are
+    in different groups are apart. Rows without a doc_id are compared with each other alone: of each group one of them stays."""
+    ids = grouped(saved(with_fingerprints(docs, hashed=True), "simhash-fingerprints"))
+    kept = ids.where("doc_id = component_id or doc_id is null").groupBy("component", "doc_id").agg(F.min("row").alias("row")).alias("k")
+    rows = docs.select(F.struct(*docs.columns).alias("row"), F.col("doc_id").cast("long").alias("id"), F.xxhash64(*docs.columns).alias("h"))
+    one = rows.join(kept, F.col("id").eqNullSafe(F.col("k.doc_id")) & (F.col("h") == F.col("k.row")), "left_semi")
+    first = F.row_number().over(Window.partitionBy("id", "h").orderBy("h"))
+    return one.withColumn("nth", first).where("nth = 1").select("row.*")
 
 
 def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -92,3 +92,11 @@ def test_empty_table(spark):
 def test_chain_is_one_component(spark):
     edges = spark.range(200).select(F.col("id").alias("a"), (F.col("id") + 1).alias("b"))
     assert {r.component for r in simhash.components(edges).collect()} == {0}
+
+
+def test_each_group_keeps_a_row_where_doc_ids_are_repeated_or_null(spark):
+    rng = random.Random(4)
+    a, b, c, d = (" ".join(str(rng.random()) for _ in range(50)) for _ in range(4))
+    rows = [(3, a, 0)] + [(5, t, k) for k in range(4) for t in (a, b)] + [(5, b, 0), (None, c, 1), (None, c, 1), (None, c, 2), (None, d, 1), (7, d, 1)]
+    got = simhash.keep_one(spark.createDataFrame(rows, "doc_id long, text string, n int")).collect()
+    assert sorted((r.doc_id or 0, r.text) for r in got) == sorted([(3, a), (5, b), (0, c), (0, d), (7, d)])
