@@ -3,7 +3,9 @@
 Both vocabularies cut a text into words before anything is merged, so ids of a text are the ids of its words in order. Texts
 whose characters are all in SAFE (ASCII and the letters of Latin-1) are cut here, on Latin-1 bytes: first at spaces, then each
 unseen run into words, and each unseen word is merged. Runs and words are kept with their packed ids in a cache of two generations
-of CACHE entries (about 80 MB), so memory is bounded. All other texts go whole to the library."""
+of CACHE entries (about 80 MB), so memory is bounded. All other texts go whole to the library, and so does a text that spells one of
+the vocabulary's special tokens, which the library turns into that token's id. A file whose normalizer or pre-tokenizer isn't one of the
+two that are cut here is encoded by the library alone."""
 
 from __future__ import annotations
 
@@ -19,6 +21,13 @@ BYTE_LEVEL = re.compile(SUFFIX + rb" ?[%b]+| ?[0-9]+| ?[^\s0-9%b]+|\s+(?!\S)|\s+
 WORD_LEVEL = re.compile(SUFFIX + rb"[%b]+|[0-9]|[^\s0-9%b]+" % (LETTERS, LETTERS))
 LOWER = bytes(i + 32 if 65 <= i <= 90 or 0xC0 <= i <= 0xDE and i != 0xD7 else i for i in range(256))
 CACHE = 300_000
+#: How the two vocabulary files cut texts, which WORD_LEVEL and BYTE_LEVEL repeat for SAFE texts.
+WORD_SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+WORD_FORM = (
+    {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]},
+    {"type": "Sequence", "pretokenizers": [{"type": "Split", "pattern": {"Regex": WORD_SPLIT}, "behavior": "Removed", "invert": True}, {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False}]},
+)
+BYTE_FORM = (None, {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": True})
 
 
 class Known(dict):
@@ -76,16 +85,22 @@ def merger(library, spec: dict):
 
 
 class Encoder:
-    def __init__(self, path: str) -> None:
+    """special_as_text: the strings of special tokens are ordinary text, which isn't the library's default."""
+
+    def __init__(self, path: str, special_as_text: bool = False) -> None:
         import json
 
         from tokenizers import Tokenizer
 
-        self.library, spec = Tokenizer.from_file(path), json.load(open(path, encoding="utf-8"))
-        self.library.encode_special_tokens = True
-        self.lower, self.bytes = bool(spec.get("normalizer")), printable()
+        with open(path, encoding="utf-8") as f:
+            spec = json.load(f)
+        self.library, form = Tokenizer.from_file(path), (spec.get("normalizer"), spec.get("pre_tokenizer"))
+        self.library.encode_special_tokens = special_as_text
+        self.special = () if special_as_text else tuple(t["content"].encode("latin-1", "replace") for t in spec["added_tokens"])
+        self.known = form in (WORD_FORM, BYTE_FORM) and not any(t["normalized"] for t in spec["added_tokens"])
+        self.lower, self.bytes = form == WORD_FORM, printable()
         self.cut = (WORD_LEVEL if self.lower else BYTE_LEVEL).findall
-        self.merge = merger(self.library, spec) or self.slow
+        self.merge = self.known and merger(self.library, spec) or self.slow
         self.kind = "H" if self.library.get_vocab_size() <= 1 << 16 else "I"
         self.words, self.runs = Known(self.word), Known(self.run)  # runs: in word_bpe between white space, in byte_bpe after a space
 
@@ -116,8 +131,8 @@ class Encoder:
             raw = (text or "").encode("latin-1")
         except UnicodeEncodeError:
             raw = None
-        if raw is None or raw.translate(None, SAFE):
-            return array(self.kind, self.library.encode(text, add_special_tokens=False).ids).tobytes() + last
+        if raw is None or not self.known or raw.translate(None, SAFE) or any(x in raw for x in self.special):
+            return array(self.kind, self.library.encode(text or "", add_special_tokens=False).ids).tobytes() + last
         if len(self.words) + len(self.runs) > CACHE:
             self.fresh()
         if self.lower:  # words never hold white space
@@ -138,9 +153,9 @@ class Encoder:
 
 
 @lru_cache(maxsize=2)
-def encoder(path: str) -> Encoder:
+def encoder(path: str, special_as_text: bool = False) -> Encoder:
     """One for each worker process and file."""
-    return Encoder(path)
+    return Encoder(path, special_as_text)
 
 
 def vocabulary_path(name: str) -> str:

@@ -1,3 +1,4 @@
+import json
 import random
 
 import numpy as np
@@ -9,6 +10,7 @@ from lexibrook.llm import packing, rans, tokens
 TRICKY = [
     None, "", " ", "\n\n", "  a  b", "it's IT'S 'sa ''s !'s 's's", "a\t\n b\r\n\r\nc ", "Éléphant ÀÖØÞß ÿ×÷ª", "œuvre Œ €5 — ²³ ½ 12345 1a2b", "日本語 text", "x" * 3000,
     "<|endoftext|> <|startoftext|> </w>", "é İ K", "\x85\xa0\x1c\x00 a", "don't we'll they've I'd I'm you're", "foo_bar __init__ @#$%^&*() ...", "   \n  x", "\x0b\x0c v",
+    "a <|endoftext|> b", "a<|endoftext|>b", "a <|ENDOFTEXT|> b", "<|startoftext|>", "<|endof text|>", "<|endoftext|", "<|endoftext|><|endoftext|>  ", "日 <|endoftext|> 本",
 ]
 
 
@@ -16,7 +18,6 @@ TRICKY = [
 def test_ids_equal_the_library(spark, name):
     path = tokens.vocabulary_path(name)
     library, enc, rng = Tokenizer.from_file(path), tokens.Encoder(path), random.Random(1)
-    library.encode_special_tokens = True
     assert enc.merge != enc.slow
     alphabet = "abcdeABCDE  \n\t'slvremtd!?-.,0123éÉßÿÀ\r"
     texts = TRICKY + ["".join(rng.choice(alphabet) for _ in range(rng.randrange(80))) for _ in range(1500)]
@@ -26,6 +27,28 @@ def test_ids_equal_the_library(spark, name):
         assert enc.ids(t, 7).tolist() == library.encode(t or "", add_special_tokens=False).ids + [7], t
 
 
+@pytest.mark.parametrize("name", ["word_bpe_49k.json", "byte_bpe_50k.json"])
+def test_special_tokens_as_text(name):
+    path = tokens.vocabulary_path(name)
+    library, enc = Tokenizer.from_file(path), tokens.Encoder(path, special_as_text=True)
+    library.encode_special_tokens = True
+    for t in TRICKY:
+        assert enc.ids(t, 7).tolist() == library.encode(t or "", add_special_tokens=False).ids + [7], t
+
+
+def test_other_ways_of_cutting_are_left_to_the_library(tmp_path):
+    with open(tokens.vocabulary_path("byte_bpe_50k.json"), encoding="utf-8") as f:
+        spec = json.load(f)
+    spec["normalizer"] = {"type": "Lowercase"}
+    path = str(tmp_path / "other.json")
+    with open(path, "w", encoding="utf-8") as f:
+        json.dump(spec, f)
+    library, enc = Tokenizer.from_file(path), tokens.Encoder(path)
+    assert not enc.known
+    for t in TRICKY:
+        assert enc.ids(t, 7).tolist() == library.encode(t or "", add_special_tokens=False).ids + [7], t
+
+
 def test_cache_is_bounded(monkeypatch):
     monkeypatch.setattr(tokens, "CACHE", 5)
     enc = tokens.Encoder(tokens.vocabulary_path("byte_bpe_50k.json"))
