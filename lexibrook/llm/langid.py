@@ -7,11 +7,15 @@ positions gives that sum. A text's score sums the words' logarithms, and softmax
 Piece probabilities come from expectation-maximisation (forward-backward over each distinct word, weighted by its count), ROUNDS
 times, on labelled documents: those with a lang whose crc32(doc_id as text) mod 5 isn't 0. TRAIN_ROWS bounds the expected number
 of them (chosen by a hash of doc_id, whole texts); everything else covers all rows. The driver gets one number for each language
-and piece, whatever the input's size. Prediction sees the text alone.
+and piece, whatever the input's size; a model of over MOST_BYTES is an error. Prediction sees the text alone.
 
-Edge cases: null text, or text without a letter, is `und` with score 0; so is everything if nothing can be learned; null doc_ids
-are never trained on and count as held out; repeated rows give one row each; an empty table gives no rows. A word of any
-length is scored whole; one of over SHORT letters, by itself with rescaling against underflow."""
+As a filter (keep_known), texts are also scored by a background in which all pieces are equally likely: a text that the background
+makes likelier than the best language does is in none of the languages (other languages, codes, noise), and goes.
+
+Edge cases: null text, or text without a letter, is `und` with score 0; so is everything if nothing can be learned, and keep_known
+then keeps nothing; null doc_ids are never trained on and count as held out; repeated rows give one row each; an empty table gives no
+rows. Training counts a word of over LONG letters as several; scoring takes a word of any length whole, one of over SHORT letters by
+itself with rescaling against underflow."""
 
 from __future__ import annotations
 
@@ -29,7 +33,7 @@ from lexibrook.llm.common import saved, table, values
 from lexibrook.llm.tokens import encoder, vocabulary_path
 
 TRAIN_ROWS, ROUNDS, SMOOTH, CACHE, UNKNOWN, LONG = 20_000, 3, 0.1, 300_000, "und", 48
-SHORT, STRETCH = 24, 50_000
+SHORT, STRETCH, MOST_BYTES = 24, 50_000, 1 << 29
 LETTERS = re.compile(r"[^\W\d_]+").findall
 
 
@@ -128,10 +132,12 @@ def held_out(doc_id: str = "doc_id") -> Column:
 
 
 class Model:
-    """Languages and, for each, the logarithm-free piece probabilities."""
+    """Languages and, for each, the piece probabilities, as an array that goes to tasks."""
+
+    def __init__(self, path: str, langs: list[str], probabilities) -> None:
+        import numpy as np
 
-    def __init__(self, path: str, langs: list[str], probabilities: list[list[float]]) -> None:
-        self.path, self.langs, self.p = path, langs, probabilities
+        self.path, self.langs, self.p = path, langs, np.array(probabilities, np.float64).reshape(len(langs), -1 if langs else 0)
 
 
 def word_counts(docs: DataFrame) -> DataFrame:
@@ -161,11 +167,13 @@ def train(docs: DataFrame, path: str, rows: int = TRAIN_ROWS, rounds: int = ROUN
     words = saved(word_counts(labelled), "langid-words")
     langs = [r["lang"] for r in words.select("lang").distinct().orderBy("lang").collect()]
     size = pieces(path).other + 1
-    p = [[1.0 / size] * size for _ in langs]
+    if len(langs) * size * 8 > MOST_BYTES:
+        raise ValueError(f"{len(langs)} languages make a model of more than {MOST_BYTES} bytes")
+    p = np.full((len(langs), size), 1.0 / size)
     for _ in range(rounds if langs else 0):
 
-        def run(batches: Iterator[pa.RecordBatch], p: list[list[float]] = p) -> Iterator[pa.RecordBatch]:
-            v, got = pieces(path), [[0.0] * size for _ in langs]
+        def run(batches: Iterator[pa.RecordBatch], p=p) -> Iterator[pa.RecordBatch]:
+            v, p, got = pieces(path), p.tolist(), [[0.0] * size for _ in langs]
             at = {x: k for k, x in enumerate(langs)}
             for b in batches:
                 for lang, w, n in zip(*(c.to_pylist() for c in b.columns)):
@@ -177,19 +185,22 @@ def train(docs: DataFrame, path: str, rows: int = TRAIN_ROWS, rounds: int = ROUN
         counts = np.full((len(langs), size), SMOOTH)
         for r in words.select("lang", "word", "n").mapInArrow(run, "i int, k int, n double").groupBy("i", "k").agg(F.sum("n").alias("n")).collect():  # one for each language and piece
             counts[r["i"], r["k"]] += r["n"]
-        p = (counts / counts.sum(axis=1, keepdims=True)).tolist()
+        p = counts / counts.sum(axis=1, keepdims=True)
     return Model(path, langs, p)
 
 
 class Scorer:
-    """Scores texts by their words' log-probabilities, one row for each known word; keeps two generations of CACHE words."""
+    """Scores texts by their words' log-probabilities, one row for each known word; keeps two generations of CACHE words. With
+    background, a last column scores words by pieces that are all equally likely."""
 
-    def __init__(self, model: Model) -> None:
+    def __init__(self, model: Model, background: bool = False) -> None:
         import numpy as np
 
-        self.v, self.model = pieces(model.path), model
-        self.p = np.array(model.p).T.copy()  # by piece, a number for each language
-        self.known, self.before, self.rows, self.rows_before = {}, {}, np.zeros((1024, len(model.langs))), None
+        self.v, self.model, self.background = pieces(model.path), model, background
+        every = np.vstack([model.p, np.full_like(model.p[:1], 1.0 / max(1, model.p.shape[1]))]) if background else model.p
+        self.p = every.T.copy()  # by piece, a number for each language
+        self.alone = every.tolist()
+        self.known, self.before, self.rows, self.rows_before = {}, {}, np.zeros((1024, len(every))), None
 
     def renew(self) -> None:
         import numpy as np
@@ -236,10 +247,11 @@ class Scorer:
             self.rows[[self.known[w] for w in part]] = self.forwards(part)
         for w in (w for w in new if len(w) > SHORT):
             edges = self.v.edges(w)
-            self.rows[self.known[w]] = [forward(edges, p, self.v.longest) for p in self.model.p]
+            self.rows[self.known[w]] = [forward(edges, p, self.v.longest) for p in self.alone]
 
     def predict(self, texts: Iterable[str | None]) -> list[tuple[str, float]]:
-        """(language, score) of each text; words are looked up for a stretch of texts of about STRETCH words at a time."""
+        """(language, score) of each text; words are looked up for a stretch of texts of about STRETCH words at a time. A text that the
+        background makes likelier has no language."""
         import numpy as np
 
         if not self.model.langs:
@@ -256,7 +268,7 @@ class Scorer:
 
         for n, text in enumerate(texts):
             words = LETTERS((text or "").lower())
-            totals.append(np.zeros(len(self.model.langs)) if any(c.isalpha() for w in words for c in w) else None)
+            totals.append(np.zeros(len(self.alone)) if any(c.isalpha() for w in words for c in w) else None)
             for at in range(0, len(words) if totals[n] is not None else 0, STRETCH):
                 held.append((n, words[at : at + STRETCH]))
                 size += len(held[-1][1])
@@ -264,18 +276,20 @@ class Scorer:
                     flush()
                     size = 0
         flush()
-        return [(UNKNOWN, 0.0) if t is None else (self.model.langs[int(t.argmax())], float(1 / np.exp(t - t.max()).sum())) for t in totals]
+        n = len(self.model.langs)
+        none = [t is None or self.background and t[n] >= t[:n].max() for t in totals]
+        return [(UNKNOWN, 0.0) if x else (self.model.langs[int(t[:n].argmax())], float(1 / np.exp(t[:n] - t[:n].max()).sum())) for x, t in zip(none, totals)]
 
 
-def with_language(docs: DataFrame, model: Model, name: str = "lang_pred", score: str = "score", text: str = "text") -> DataFrame:
-    """docs with two columns at the end."""
+def with_language(docs: DataFrame, model: Model, name: str = "lang_pred", score: str = "score", text: str = "text", background: bool = False) -> DataFrame:
+    """docs with two columns at the end; with background, `und` also where that is likelier than the best language."""
     import pyarrow as pa
 
     n, at = len(docs.columns), docs.columns.index(text)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder.cache_clear()  # a worker that tokenized before would keep its words
-        scorer = Scorer(model)
+        scorer = Scorer(model, background)
         for b in batches:
             got = scorer.predict(values(b.column(at)))
             yield pa.RecordBatch.from_arrays([*b.columns[:n], pa.array([g[0] for g in got], pa.string()), pa.array([g[1] for g in got], pa.float64())], [*b.schema.names, name, score])
@@ -284,9 +298,9 @@ def with_language(docs: DataFrame, model: Model, name: str = "lang_pred", score:
 
 
 def keep_known(docs: DataFrame, model: Model) -> DataFrame:
-    """docs, with their own columns, but for those without a language: null text or no letter."""
+    """docs, with their own columns, but for those without a language: null text, no letter, or likelier under the background."""
     row = docs.select(F.struct(*docs.columns).alias("row"), F.col("text").cast("string").alias("text"))
-    return with_language(row, model).where(F.col("lang_pred") != UNKNOWN).select("row.*")
+    return with_language(row, model, background=True).where(F.col("lang_pred") != UNKNOWN).select("row.*")
 
 
 def op6_language(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -3,6 +3,8 @@ import math
 import random
 import zlib
 
+from pyspark.sql import functions as F
+
 from lexibrook.llm import langid
 from lexibrook.llm.tokens import vocabulary_path
 
@@ -62,11 +64,12 @@ def test_held_out_accuracy_and_edge_cases(spark):
     assert {r.doc_id for r in held} == {d for d in truth if zlib.crc32(str(d).encode()) % 5 == 0}
     assert sum(r.lang_pred == truth[r.doc_id] for r in held) >= 0.97 * len(held)
     assert all(0 <= r.score <= 1 for r in got)
-    odd = [(1, None, "x"), (2, "", "x"), (3, "123 _ ²½ !", "x"), (None, "the and of this", None), (4, "é" * 50_000, "x"), (4, "é" * 50_000, "x"), (5, "日本語", "x")]
+    odd = [(1, None, "x"), (2, "", "x"), (3, "123 _ ²½ !", "x"), (None, "the and of this", None), (4, "the and " * 50_000, "x"), (4, "the and " * 50_000, "x"), (5, "日本語の文章です。これは日本語だけで書かれている。", "x"), (6, "qzx" * 50_000, "x")]
     df = spark.createDataFrame(odd, "doc_id long, text string, lang_pred string")
     kept = langid.keep_known(df, model)
     assert kept.columns == df.columns
-    assert sorted(str(r.doc_id) for r in kept.collect()) == ["4", "4", "5", "None"]
+    assert sorted(str(r.doc_id) for r in kept.collect()) == ["4", "4", "None"]
+    assert {r.id: r.lang_pred for r in langid.with_language(df.select(F.col("doc_id").alias("id"), "text"), model).collect()}[5] != "und"
     assert langid.keep_known(df.limit(0), model).count() == 0
 
 
@@ -76,6 +79,22 @@ def test_nothing_to_learn(spark):
     assert [(r.lang_pred, r.score) for r in langid.with_language(df, model).collect()] == [("und", 0.0)]
 
 
+def test_filter_keeps_the_table_and_drops_texts_in_no_language(spark):
+    """All documents with a letter stay; other languages, codes and noise go. With one prediction for all texts this fails."""
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text", "lang")
+    model = langid.train(docs, PATH)
+    assert langid.keep_known(docs, model).count() == docs.where("text rlike '\\\\p{L}'").count()
+    foreign = ["det här är en svensk mening med flera ord som inte finns på engelska", "Это русский текст", "asdkjh qwoeiu zxmcnb qpwoei", "aGVsbG8gd29ybGQgdGhpcyBpcyBiYXNlNjQ", "日本語の文章です"]
+    rows = spark.createDataFrame([(k, t, "en") for k, t in enumerate(foreign)], "doc_id long, text string, lang string")
+    assert langid.keep_known(rows, model).count() == 0
+
+
+def test_an_empty_table_teaches_nothing(spark):
+    docs = spark.createDataFrame([], "doc_id long, text string, lang string")
+    model = langid.train(docs, PATH)
+    assert model.langs == [] and langid.keep_known(docs, model).count() == 0
+
+
 def test_bound_on_training_rows(spark):
     docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
     few = langid.train(docs, PATH, rows=40, rounds=1)
