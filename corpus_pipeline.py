@@ -1,9 +1,10 @@
 """From documents to packed training sequences: language ID, near-duplicates, mixing, packing.
 
 Each stage takes (spark, docs, sf_dir), works on all that the stage before kept and returns the columns of documents, but for the
-last, which returns packed pieces. Null or letterless texts go in the first stage; of each group of near-duplicates one document
-stays in the second; the third repeats or leaves out documents so that sources have their target shares; the fourth cuts and packs
-what is left. Edge cases are those of the operators, in lexibrook/llm."""
+last, which returns packed pieces. In the first stage texts go that are in none of the languages learned from the labelled documents:
+null, without a letter, or likelier under a background model than under the best language; of each group of near-duplicates one
+document stays in the second; the third repeats or leaves out documents so that sources have their target shares; the fourth cuts and
+packs what is left. Edge cases are those of the operators, in lexibrook/llm."""
 
 from __future__ import annotations
 
