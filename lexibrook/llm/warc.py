@@ -26,12 +26,14 @@ import zlib
 from collections.abc import Iterator
 from urllib.parse import quote
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexibrook.llm.common import open_fs, parallelism, saved, shared_dir, table
+from lexibrook.llm.common import cuts_by_weight, forget, open_fs, range_of, saved, shared_dir, spread_join, table
 
 ROLL, LEAST_BYTES, DATE = 64 << 20, 0, "2000-01-01T00:00:00Z"
+#: What a record weighs beside its payload.
+HEAD = 512
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 
 
@@ -117,12 +119,12 @@ def write_archives(pages: DataFrame, folder: str, least_bytes: int = LEAST_BYTES
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.encode(F.coalesce(F.col("html").cast("string"), F.lit("")), "UTF-8").alias("payload"))
     digests = saved(rows.select("page_id", F.unhex(F.sha1("payload")).alias("digest"), F.octet_length("payload").alias("n")), "warc-digests")
     groups = digests.where(F.col("n") >= least_bytes).groupBy("digest").agg(F.max("page_id").alias("refers_to"), F.count("*").alias("copies")).where("copies > 1")
-    marks = digests.where(F.col("n") >= least_bytes).join(groups, "digest").where("page_id < refers_to").select("page_id", "digest", "refers_to").distinct()
-    n = parallelism(spark)
-    bounds = sorted(set(digests.agg(F.percentile_approx("page_id", [k / n for k in range(1, n)] or [0.5], 10_000)).first()[0] or []))  # n numbers
-    part = F.coalesce(F.aggregate(F.array(*map(F.lit, bounds)), F.lit(0), lambda a, x: a + (x <= F.col("page_id")).cast("int")), F.lit(0)) if bounds else F.lit(0)
+    marks = spread_join(digests.where(F.col("n") >= least_bytes), groups, ["digest"], F.xxhash64("page_id")).where("page_id < refers_to").select("page_id", "digest", "refers_to").distinct()
+    cuts = cuts_by_weight(digests.select("page_id", (F.col("n") + HEAD).alias("n")), "page_id", "n")
     both = rows.select("page_id", F.lit(1).alias("kind"), "url", "payload", F.lit(None).cast("long").alias("refers_to")).unionByName(marks.select("page_id", F.lit(0).alias("kind"), F.lit(None).cast("string").alias("url"), F.col("digest").alias("payload"), "refers_to"))
-    ordered = both.select(part.alias("part"), "page_id", "kind", "url", "payload", "refers_to").repartition(n, "part").sortWithinPartitions("part", "page_id", "kind", "url", F.crc32("payload"))
+    digest = F.when(F.col("kind") == 1, F.unhex(F.sha1("payload"))).otherwise(F.col("payload"))
+    dealt = both.withColumn("part", range_of(F.col("page_id"), cuts, F.xxhash64(digest))).repartitionById(len(cuts) + 1, "part")
+    ordered = dealt.select("part", "page_id", "kind", "url", "payload", "refers_to").sortWithinPartitions("part", "page_id", "kind", "url", F.crc32("payload"))
     fs, path = open_fs(folder)
     fs.create_dir(f"{path}/files", recursive=True)
 
@@ -150,6 +152,7 @@ def write_archives(pages: DataFrame, folder: str, least_bytes: int = LEAST_BYTES
         yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in done], t) for k, t in enumerate(kinds)], ["name", "records", "bytes", "sha256"])
 
     ordered.mapInArrow(run, "name string, records long, bytes long, sha256 string").write.parquet(f"{folder}/manifest")
+    forget(digests)
     return spark.read.parquet(f"{folder}/manifest")
 
 
@@ -174,8 +177,8 @@ def read_archives(spark: SparkSession, folder: str) -> DataFrame:
         kinds = (pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64())
         return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate(kinds)], ["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"])
 
-    names = spark.read.parquet(f"{folder}/manifest").select("name").repartition(parallelism(spark), "name")
-    return names.mapInArrow(run, "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long")
+    names = spark.read.parquet(f"{folder}/manifest").select("name").sort("name")
+    return names.repartition(max(1, names.count())).mapInArrow(run, "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long")
 
 
 def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -4,7 +4,7 @@ import hashlib
 
 from pyarrow import fs as pafs
 
-from lexibrook.llm import warc
+from lexibrook.llm import common, warc
 from lexibrook.llm.common import open_fs, shared_dir
 
 ROWS = [
@@ -49,6 +49,21 @@ def test_same_bytes_again(spark):
     assert runs[0] == runs[1]
 
 
+def test_one_id_over_many_ranges(spark, monkeypatch):
+    """A third of all rows share an id, another third has none: their ranges are several, each page is read back, and runs agree."""
+    monkeypatch.setattr(common, "LEAST_RANGE", 4000)
+    rows = [(None if k % 3 == 0 else 5 if k % 3 == 1 else k, "u", f"page {k % 40} " * 5) for k in range(900)]
+    df, runs = spark.createDataFrame(rows, "page_id long, url string, html string"), []
+    for parts in (2, 7):
+        folder = shared_dir(spark, "test-warc")
+        manifest = warc.write_archives(df.repartition(parts), folder).collect()
+        runs.append(sorted((r["name"], r["records"], r["bytes"]) for r in manifest))
+        assert len(manifest) > 5 and max(r["records"] for r in manifest) < 300
+        key = lambda r: tuple(map(str, r))
+        assert sorted(rows_of(warc.read_archives(spark, folder)), key=key) == sorted(brute(rows), key=key)
+    assert runs[0] == runs[1]
+
+
 def test_empty_table(spark):
     folder = shared_dir(spark, "test-warc")
     warc.write_archives(spark.createDataFrame([], "page_id long, url string, html string"), folder)
