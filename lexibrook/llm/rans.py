@@ -9,8 +9,9 @@ and length.
     file   := MAGIC head-length head block* footer footer-length MAGIC
     block  := states of the lanes (unsigned 64-bit), words (unsigned 32-bit)
 
-Writing: documents are encoded once, into a table; ranges of doc_id, from quantiles over all documents, become partitions, each
-sorted by doc_id and written by one task, which starts a new file every FILE ids. Tasks write under temporary names and rename
+Writing: documents are encoded once, into a table; ranges of doc_id of about equal numbers of ids (cut by the running sum over all
+documents) are dealt one to a task, which sorts by doc_id and starts a new file every FILE ids. Documents of one doc_id that fill
+several ranges are dealt over them. Tasks write under temporary names and rename
 at the end, and the manifest names the files that count, so lost or repeated tasks leave nothing that is read.
 
 Edge cases: null or empty text is a document of the end id alone; null doc_ids stand first, repeated ones next to each other;
@@ -28,7 +29,7 @@ from itertools import chain
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from lexibrook.llm.common import open_fs, parallelism, saved, shared_dir, table, values
+from lexibrook.llm.common import cuts_by_weight, forget, open_fs, range_of, saved, shared_dir, table, values
 from lexibrook.llm.tokens import crc, encoder, vocabulary_path
 
 MAGIC, BITS, LANES, BLOCK, FILE, END = b"LXBRANS1", 20, 4096, 1 << 20, 1 << 24, 0
@@ -244,9 +245,7 @@ def write_files(rows: DataFrame, folder: str) -> DataFrame:
     fs.create_dir(f"{path}/files", recursive=True)
     with fs.open_output_stream(f"{path}/frequencies") as f:
         f.write(freq.astype("<u8").tobytes())
-    n = parallelism(spark)
-    bounds = sorted(set(ids.agg(F.percentile_approx("doc_id", [k / n for k in range(1, n)] or [0.5], 10_000)).first()[0] or []))  # n numbers
-    part = F.coalesce(F.aggregate(F.array(*map(F.lit, bounds)), F.lit(0), lambda a, x: a + (x <= F.col("doc_id")).cast("int")), F.lit(0)) if bounds else F.lit(0)
+    cuts = cuts_by_weight(ids.select("doc_id", F.octet_length("ids").alias("n")), "doc_id", "n")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder, writer, done = Coder(freq), None, []
@@ -265,7 +264,8 @@ def write_files(rows: DataFrame, folder: str) -> DataFrame:
         names = ["name", "part", "nth", "n_docs", "n_tokens", "bytes"]
         yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in done], t) for k, t in enumerate(kinds)], names)
 
-    dealt = ids.withColumn("part", part).select("part", "doc_id", "ids").repartition(n, "part").sortWithinPartitions("part", "doc_id", F.crc32("ids"))
+    order = F.crc32("ids")
+    dealt = ids.withColumn("part", range_of(F.col("doc_id"), cuts, F.xxhash64("ids"))).select("part", "doc_id", "ids").repartitionById(len(cuts) + 1, "part").sortWithinPartitions("part", "doc_id", order)
     dealt.mapInArrow(run, "name string, part int, nth int, n_docs long, n_tokens long, bytes long").write.parquet(f"{folder}/manifest")
     return spark.read.parquet(f"{folder}/manifest")
 
@@ -275,6 +275,7 @@ def read_files(spark: SparkSession, folder: str) -> DataFrame:
     import pyarrow as pa
 
     manifest = spark.read.parquet(f"{folder}/manifest")
+    n = max(1, manifest.count())
     before = F.coalesce(F.sum("n_tokens").over(Window.orderBy("part", "nth").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))  # a row for each file of FILE ids
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -299,13 +300,15 @@ def read_files(spark: SparkSession, folder: str) -> DataFrame:
     def batch(rows: list[tuple]):
         return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], pa.int64()) for k in range(4)], ["doc_id", "start", "n_tokens", "ids_crc32"])
 
-    files = manifest.select("name", before.alias("start")).repartition(parallelism(spark), "name")
+    files = manifest.select("name", before.alias("start")).repartition(n)
     return files.mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
 def op8_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = shared_dir(spark, "rans-files")
-    write_files(saved(encoded(table(spark, sf_dir, "documents"), vocabulary_path("byte_bpe_50k.json")), "rans-ids"), folder)
+    ids = saved(encoded(table(spark, sf_dir, "documents"), vocabulary_path("byte_bpe_50k.json")), "rans-ids")
+    write_files(ids, folder)
+    forget(ids)
     return read_files(spark, folder)
 
 

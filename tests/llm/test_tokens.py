@@ -166,3 +166,21 @@ def test_single_symbol_and_files(spark, monkeypatch):
     folder = shared_dir(spark, "test-rans")
     rans.write_files(saved(rans.encoded(df.limit(0), path), "t"), folder)
     assert rans.read_files(spark, folder).count() == 0
+
+
+def test_documents_of_one_id_go_over_many_files(spark, monkeypatch):
+    from lexibrook.llm import common
+
+    monkeypatch.setattr(common, "LEAST_RANGE", 2000)
+    docs = [(None if k % 3 == 0 else 5 if k % 3 == 1 else k - 300, f"text number {k} " * 3) for k in range(600)]
+    df, path = spark.createDataFrame(docs, "doc_id long, text string").repartition(3), tokens.vocabulary_path("byte_bpe_50k.json")
+    folder = common.shared_dir(spark, "test-rans")
+    manifest = rans.write_files(common.saved(rans.encoded(df, path), "t"), folder).collect()
+    assert len(manifest) > 5 and max(r["n_docs"] for r in manifest) < 200
+    got, enc, at = sorted(rans.read_files(spark, folder).collect(), key=lambda r: r.start), tokens.Encoder(path), 0
+    key = lambda d: -(1 << 63) if d is None else d
+    assert [key(r.doc_id) for r in got] == sorted(key(d) for d, _ in docs)
+    assert sorted((key(r.doc_id), r.ids_crc32) for r in got) == sorted((key(d), tokens.crc(enc.ids(t, 0))) for d, t in docs)
+    for r in got:
+        assert r.start == at
+        at += r.n_tokens
