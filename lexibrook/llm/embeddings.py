@@ -29,9 +29,9 @@ from functools import lru_cache
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexibrook.llm.common import components, parallelism, saved, table
+from lexibrook.llm.common import components, parallelism, saved, spread_join, table
 
-COSINE, BUCKET, COMMON, CODES, TILE, SKETCH, APART, SALT, SEED = 0.9, 48, 20.0, 10, 1024, 128, 44, 32, 20
+COSINE, BUCKET, COMMON, CODES, TILE, SKETCH, APART, SEED = 0.9, 48, 20.0, 10, 1024, 128, 44, 20
 
 
 def tails(dim: int):
@@ -271,11 +271,10 @@ def near_vectors(embeddings: DataFrame) -> DataFrame:
     counts = found.groupBy("uid").agg(F.sum("n").alias("n"))
     classes = able.select("digest", "uid", "copies").join(counts, "uid", "left").join(joined, F.col("uid") == F.col("node"), "left")
     classes = classes.select("digest", (F.coalesce("n", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("component", F.when(F.col("copies") > 1, F.col("uid"))).alias("component"))
-    labelled = v.select("uid", "vec_id", "digest").join(classes, "digest", "left")
-    labelled = saved(labelled.select("vec_id", F.coalesce("n_links", F.lit(0)).alias("n_links"), "component", F.pmod("uid", F.lit(SALT)).alias("salt")), "vectors-labelled")
+    labelled = spread_join(v.select("uid", "vec_id", "digest"), classes, ["digest"], F.xxhash64("uid"), "left")  # copies can be a third of all rows
+    labelled = saved(labelled.select("uid", "vec_id", F.coalesce("n_links", F.lit(0)).alias("n_links"), "component"), "vectors-labelled")
     least = labelled.where("component is not null").groupBy("component").agg(F.min("vec_id").alias("least"))
-    least = least.select("component", "least", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALT - 1).cast("long"))).alias("salt"))  # a component can hold a third of all rows
-    out = labelled.join(least, ["component", "salt"], "left").select("vec_id", "n_links", F.when(F.col("component").isNull(), F.col("vec_id")).otherwise(F.col("least")).alias("component_id"))
+    out = spread_join(labelled, least, ["component"], F.xxhash64("uid"), "left").select("vec_id", "n_links", F.when(F.col("component").isNull(), F.col("vec_id")).otherwise(F.col("least")).alias("component_id"))
     return out.withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(False)))
 
 
