@@ -181,12 +181,12 @@ def read_file(fs, path: str, coder: Coder) -> Iterator[tuple]:
             held, have = [whole[n:]], have - n
 
 
-ENCODED = "doc_id long, ids binary, counts binary"
+ENCODED = "doc_id long, ids binary, n long, counts binary"
 
 
 def encoded(docs: DataFrame, path: str, end: int = END) -> DataFrame:
-    """(doc_id, ids, null) of each document, ids as little-endian unsigned 16-bit numbers; after each batch a row (null, null, counts)
-    of how often each id came in it, as 64-bit pairs, so that counting doesn't read the ids again."""
+    """(doc_id, ids, n, null) of each document, ids as n little-endian unsigned 16-bit numbers; after each batch a row (null, null, null,
+    counts) of how often each id came in it, as 64-bit pairs, so that counting doesn't read the ids again."""
     import pyarrow as pa
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -208,7 +208,7 @@ def encoded(docs: DataFrame, path: str, end: int = END) -> DataFrame:
             k = np.flatnonzero(total)
             pairs = np.stack([k, total[k]], axis=1).astype("<i8").tobytes()
             docs = pa.concat_arrays([b.column(0), pa.nulls(1, pa.int64())])
-            yield pa.RecordBatch.from_arrays([docs, pa.array([*out, None], pa.binary()), pa.array([None] * len(out) + [pairs], pa.binary())], ["doc_id", "ids", "counts"])
+            yield pa.RecordBatch.from_arrays([docs, pa.array([*out, None], pa.binary()), pa.array([len(x) // 2 for x in out] + [None], pa.int64()), pa.array([None] * len(out) + [pairs], pa.binary())], ["doc_id", "ids", "n", "counts"])
 
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, ENCODED)
 
@@ -236,7 +236,7 @@ def write_files(rows: DataFrame, folder: str) -> DataFrame:
     import numpy as np
     import pyarrow as pa
 
-    spark, ids = rows.sparkSession, rows.where("ids is not null").select("doc_id", "ids")
+    spark, ids = rows.sparkSession, rows.where("n is not null").select("doc_id", "ids")
     freq = np.zeros(1 << 16, np.int64)
     for k, n in counted(rows):
         freq[k] = n
@@ -245,7 +245,7 @@ def write_files(rows: DataFrame, folder: str) -> DataFrame:
     fs.create_dir(f"{path}/files", recursive=True)
     with fs.open_output_stream(f"{path}/frequencies") as f:
         f.write(freq.astype("<u8").tobytes())
-    cuts = cuts_by_weight(ids.select("doc_id", F.octet_length("ids").alias("n")), "doc_id", "n")
+    cuts = cuts_by_weight(rows.where("n is not null").select("doc_id", (F.col("n") * 2).alias("n")), "doc_id", "n")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder, writer, done = Coder(freq), None, []
@@ -281,6 +281,7 @@ def read_files(spark: SparkSession, folder: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import numpy as np
 
+        encoder.cache_clear()
         coder = None
         for b in batches:
             for name, start in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):

@@ -117,6 +117,8 @@ class Encoder:
         return array(self.kind, self.merge(word if word.isascii() else word.decode("latin-1").encode())).tobytes()
 
     def run(self, run: bytes) -> bytes:
+        if run.isalpha():  # ASCII letters: one word
+            return array(self.kind, self.merge(run if self.lower else b" " + run)).tobytes()
         parts = self.cut(run if self.lower else b" " + run)
         if len(parts) == 1:
             return self.word(parts[0])
