@@ -5,7 +5,8 @@ r + 1 bits; table v (each non-zero vector of r + 1 bits) keeps bit i if <m(i), v
 of the r + 1 dimensions, so some v is orthogonal to all of them: some of the 15 tables drops every differing bit, and
 every pair within the radius collides there. That is a guarantee, not a probability.
 
-Equal fingerprints are one node. A bucket of more than LEAF fingerprints is covered anew on the bits its mask dropped (32,
+Equal fingerprints are one node, and rows of one fingerprint (copies, empty texts), a component's fingerprints and a bucket's are each
+joined in parts (spread_join), so none of them meets in one task. A bucket of more than LEAF fingerprints is covered anew on the bits its mask dropped (32,
 then 16, then 8), with the same guarantee: at the third level at most 2**8 fingerprints can share a bucket. So no bucket is
 capped, sampled or compared in full beyond LEAF, and a fingerprint is copied at most 15**3 times, only when it is in hot buckets.
 
@@ -19,7 +20,7 @@ from collections.abc import Iterator
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from lexibrook.llm.common import components, saved, table, values
+from lexibrook.llm.common import components, saved, spread_join, table, values
 
 RADIUS, LEAF, LEVELS = 3, 256, 3
 
@@ -49,16 +50,18 @@ def fingerprint_bits(text: str | None, shingle: int = 3) -> int:
 
 
 def with_fingerprints(docs: DataFrame, shingle: int = 3, hashed: bool = False) -> DataFrame:
-    """(doc_id, fp) of every row of docs; with hashed, also the hash of all its columns, as row."""
+    """(doc_id, fp, at) of every row of docs, at being its number in its task; with hashed, also the hash of all its columns, as row."""
     import pyarrow as pa
 
     more = [F.xxhash64(*docs.columns).alias("row")] if hashed else []
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        n = 0
         for b in batches:
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([fingerprint_bits(t, shingle) for t in values(b.column(1))], pa.int64()), *b.columns[2:]], ["doc_id", "fp", "row"][: b.num_columns])
+            at, n = pa.array(range(n, n + b.num_rows), pa.int64()), n + b.num_rows
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([fingerprint_bits(t, shingle) for t in values(b.column(1))], pa.int64()), at, *b.columns[2:]], ["doc_id", "fp", "at", "row"][: b.num_columns + 1])
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"), *more).mapInArrow(run, "doc_id long, fp long" + ", row long" * hashed)
+    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"), *more).mapInArrow(run, "doc_id long, fp long, at long" + ", row long" * hashed)
 
 
 def covering(bits: list[int], radius: int = RADIUS) -> list[int]:
@@ -111,7 +114,7 @@ def links(fps: DataFrame) -> DataFrame:
         keyed = rows.select("fp", "t", F.posexplode(masks[F.col("t")]).alias("k", "mask"))
         keyed = keyed.select("fp", (F.col("t") * 15 + F.col("k")).alias("t"), F.col("fp").bitwiseAND(F.col("mask")).alias("key"))
         full = keyed.groupBy("t", "key").agg(F.count("*").alias("n")).where("n > 1")
-        shared = saved(keyed.join(full, ["t", "key"]), f"simhash-buckets-{level}")
+        shared = saved(spread_join(keyed, full, ["t", "key"], F.xxhash64("fp")), f"simhash-buckets-{level}")
         leaf = shared if level == LEVELS - 1 else shared.where(F.col("n") <= LEAF)
         more = leaf.groupBy("t", "key").agg(F.collect_list("fp").alias("fps")).select("fps").mapInArrow(bucket_links, "a long, b long")
         found = more if found is None else found.union(more)
@@ -129,8 +132,8 @@ def grouped(ids: DataFrame) -> DataFrame:
     joined = components(links(classes), "simhash-components")
     labelled = classes.join(joined, classes.fp == joined.node, "left").select("fp", "least", F.coalesce("component", "fp").alias("component"))
     least = labelled.groupBy("component").agg(F.min("least").alias("component_id"))
-    of_fp = labelled.join(least, "component").select("fp", "component", "component_id")
-    return ids.join(of_fp, "fp")
+    of_fp = spread_join(labelled, least, ["component"], F.xxhash64("fp")).select("fp", "component", "component_id")
+    return spread_join(ids, of_fp, ["fp"], F.col("at"))
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
