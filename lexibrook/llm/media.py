@@ -3,16 +3,17 @@
 A payload is cut where a rolling gear hash (each byte's fixed number, shifted one bit a byte, over the last 32 bytes) has zeros in
 its top CUT bits, with chunks of LEAST to MOST bytes, so that payloads that share a stretch share its chunks. Each task writes the
 chunks it has not just written, compressed, to a pack file and lists all of its payloads' chunks by digest. A join-free minimum
-by digest then names one place for each chunk; packs are rewritten with the chunks that were named, WAVES at a time, the old
-packs of a wave going once the new ones are committed, so the store holds every chunk once and never much more than that. A join
-of lists and places by digest gives each medium's ordered chunk list.
+by digest then names one place for each chunk; packs are rewritten with the chunks that were named, in WAVES waves. The new packs of
+a wave are committed as a table; then a job deletes the wave's old packs, so the store holds every chunk once and never much more
+than that. A run that begins again in the same folder leaves out the waves whose table is whole. A join of lists and places by
+digest, split where media share a chunk, gives each medium's ordered chunk list.
 
 A medium's stored form is its chunks' compressed bytes in order. Readers go through media in the order of their first chunk and
 keep a bounded number of windows of the packs. They check each chunk's digest.
 
 Edge cases: null or empty text is a payload of 64 zeros; repeated rows are media of their own with equal lists; null doc_ids are
 allowed; an empty table gives no packs and no rows; other columns are ignored. Packs of lost or repeated tasks have names of
-their own that no list mentions."""
+their own that no list mentions; those of ingest() go with their folder after the last wave."""
 
 from __future__ import annotations
 
@@ -26,7 +27,7 @@ from functools import lru_cache
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexibrook.llm.common import open_fs, parallelism, saved, shared_dir, table, values
+from lexibrook.llm.common import open_fs, parallelism, saved, shared_dir, spread_join, table, values
 
 CUT, LEAST, MOST, LEVEL, RECENT, WAVES, WINDOW, WINDOWS, SEED = 11, 512, 16384, 3, 50_000, 4, 1 << 20, 24, 4
 
@@ -140,43 +141,61 @@ def ingest(docs: DataFrame, folder: str) -> DataFrame:
     return saved(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, LISTS), "media-lists")
 
 
+def whole(path: str) -> bool:
+    """A table was committed there."""
+    from pyarrow import fs as pafs
+
+    fs, p = open_fs(f"{path}/_SUCCESS")
+    return fs.get_file_info(p).type == pafs.FileType.File
+
+
+def deleted(packs: DataFrame, folder: str) -> None:
+    """Deletes the folder's packs(pack), in tasks; those that are gone already are none of its concern."""
+    import pyarrow as pa
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyarrow import fs as pafs
+
+        fs, path = open_fs(folder)
+        for b in batches:
+            for name in b.column(0).to_pylist():
+                if fs.get_file_info(f"{path}/{name}").type == pafs.FileType.File:
+                    fs.delete_file(f"{path}/{name}")
+            yield pa.RecordBatch.from_arrays([pa.array([b.num_rows], pa.int64())], ["n"])
+
+    packs.distinct().mapInArrow(run, "n long").agg(F.sum("n")).collect()
+
+
 def rewrite(lists: DataFrame, folder: str, to: str) -> DataFrame:
-    """One place for each digest, in packs that hold nothing else: (digest, pack, at, stored). Deletes the old packs."""
+    """One place for each digest, in packs that hold nothing else: (digest, pack, at, stored). Deletes the old packs and their folder."""
     import pyarrow as pa
 
-    spark = lists.sparkSession
-    places = saved(lists.groupBy("digest").agg(F.min(F.struct("pack", "at", "stored")).alias("p")).select("digest", "p.*", F.pmod(F.crc32(F.col("p.pack").cast("binary")), F.lit(WAVES)).alias("wave")), "media-places")
+    spark, chosen = lists.sparkSession, f"{to}-chosen"
+    wave_of = F.pmod(F.crc32(F.col("pack").cast("binary")), F.lit(WAVES)).alias("wave")
+    if not whole(chosen):
+        lists.groupBy("digest").agg(F.min(F.struct("pack", "at", "stored")).alias("p")).select("digest", "p.*").select("*", wave_of).write.mode("overwrite").parquet(chosen)
+    places = spark.read.schema("digest binary, pack string, at long, stored int, wave long").parquet(chosen)
     fs, path = open_fs(to)
     fs.create_dir(path, recursive=True)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pack, source, name = Pack(to), None, None
+        pack, reader = Pack(to), Reader(folder)
         for b in batches:
-            got = []
-            for old, at, stored in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist()):
-                if old != name:
-                    if source:
-                        source.close()
-                    (here, p), name = open_fs(folder), old
-                    source, end = here.open_input_stream(f"{p}/{old}", buffer_size=WINDOW), 0
-                if at > end:
-                    source.read(at - end)
-                got.append(pack.add(source.read(stored)))
-                end = at + stored
+            got = [pack.add(reader.read(*place)) for place in zip(*(b.column(k).to_pylist() for k in range(3)))]
             yield pa.RecordBatch.from_arrays([b.column(3), pa.array([pack.name] * len(got), pa.string()), pa.array(got, pa.int64()), b.column(2)], ["digest", "pack", "at", "stored"])
-        if source:
-            source.close()
         pack.close()
 
-    out, table_path = None, shared_dir(spark, "media-store")
+    out = None
     for wave in range(WAVES):
-        some = places.where(F.col("wave") == wave).select("pack", "at", "stored", "digest").repartition(parallelism(spark), "pack").sortWithinPartitions("pack", "at")
-        some.mapInArrow(run, "digest binary, pack string, at long, stored int").write.parquet(f"{table_path}/{wave}")
-        for r in places.where(F.col("wave") == wave).select("pack").distinct().toLocalIterator():  # one for each task of ingest()
-            here, p = open_fs(f"{folder}/{r['pack']}")
-            here.delete_file(p)
-        done = spark.read.schema("digest binary, pack string, at long, stored int").parquet(f"{table_path}/{wave}")
+        table_path = f"{to}-places/{wave}"
+        if not whole(table_path):
+            some = places.where(F.col("wave") == wave).select("pack", "at", "stored", "digest").repartition(parallelism(spark), "pack", F.expr(f"at div {WINDOW}")).sortWithinPartitions("pack", "at")
+            some.mapInArrow(run, "digest binary, pack string, at long, stored int").write.mode("overwrite").parquet(table_path)
+        deleted(lists.select("pack", wave_of).where(F.col("wave") == wave).select("pack"), folder)
+        done = spark.read.schema("digest binary, pack string, at long, stored int").parquet(table_path)
         out = done if out is None else out.union(done)
+    fs, path = open_fs(folder)
+    fs.delete_dir_contents(path, missing_dir_ok=True)
     return out
 
 
@@ -221,7 +240,7 @@ def features(payload: bytes) -> str:
 def media(lists: DataFrame, places: DataFrame) -> DataFrame:
     """(medium, doc_id, n_bytes, chunks): each medium's ordered chunk list, as long as its payload."""
     put = places.select("digest", F.struct("pack", "at", "stored").alias("place"))
-    both = lists.select("medium", "doc_id", "n_bytes", "nth", "digest", "length").join(put, "digest")
+    both = spread_join(lists.select("medium", "doc_id", "n_bytes", "nth", "digest", "length"), put, ["digest"], F.xxhash64("medium", "nth"))
     chunk = F.struct("nth", "digest", "length", "place.pack", "place.at", "place.stored")
     return both.groupBy("medium", "doc_id", "n_bytes").agg(F.array_sort(F.collect_list(chunk)).alias("chunks"))
 

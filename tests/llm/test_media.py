@@ -46,6 +46,19 @@ def test_blocks_of_a_long_payload_agree(monkeypatch):
     assert len({e - 12345 for e in ends} & set(shifted)) > 0.99 * len(shifted)
 
 
+def test_a_wave_that_failed_is_done_again(spark):
+    rng = random.Random(5)
+    df = spark.createDataFrame([(k, "".join(rng.choice("abcdé \n") for _ in range(3000))) for k in range(40)], "doc_id long, text string").repartition(6)
+    folder = shared_dir(spark, "test-media")
+    lists = media.ingest(df, f"{folder}/packs")
+    fs, path = open_fs(folder)
+    fs.create_dir(f"{path}/store-places/1")
+    with fs.open_output_stream(f"{path}/store-places/1/part-of-a-failed-run"):
+        pass
+    places = media.rewrite(lists, f"{folder}/packs", f"{folder}/store")
+    assert media.read_media(media.media(lists, places), f"{folder}/store").count() == 40
+
+
 def test_round_trip(spark):
     rng = random.Random(3)
     base = "".join(rng.choice("abcdé \n") for _ in range(30_000))
@@ -60,6 +73,10 @@ def test_round_trip(spark):
     from pyarrow import fs as pafs
 
     assert sum(x.size for x in fs.get_file_info(pafs.FileSelector(path))) == places.agg(F.sum("stored")).first()[0]
+    at, old = open_fs(f"{folder}/packs")
+    assert at.get_file_info(pafs.FileSelector(old)) == []
+    again = media.rewrite(lists, f"{folder}/packs", f"{folder}/store")  # as after a failure: whole waves are left as they are
+    assert sorted(map(tuple, again.collect())) == sorted(map(tuple, places.collect()))
     got = media.read_media(media.media(lists, places), f"{folder}/store").collect()
     assert len(got) == len(rows)
     for r in got:
