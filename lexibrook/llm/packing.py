@@ -252,7 +252,7 @@ def pack(cut: DataFrame, capacity: int = CAPACITY) -> DataFrame:
         f.write(places(plan(histogram, capacity)).tobytes())
     before = F.coalesce(F.sum("n").over(Window.partitionBy("length").orderBy("task").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     names = [c for c in cut.columns if c not in ("task", "nth")]
-    ranked = cut.join(counts.select("length", "task", before.alias("before")), ["length", "task"]).select(*names, (F.col("before") + F.col("nth")).alias("rank"))
+    ranked = cut.join(counts.select("length", "task", before.alias("before")).hint("merge"), ["length", "task"]).select(*names, (F.col("before") + F.col("nth")).alias("rank"))
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         here, p = open_fs(at)
