@@ -41,7 +41,7 @@ def main(argv: list[str] | None = None, spark=None) -> int:
         elif args.command == "search":
             n = 0
             for n, r in enumerate(engine.search(args.query, "or" if args.any else "and", args.ranked).toLocalIterator(), 1):
-                print(f"{r['rank']}. [{r['score']:.4f}] {r['doc_id']}: {r['preview']}" if args.ranked else f"{r['doc_id']}: {r['preview']}")
+                print(f"{r['rank']}. [{r['exact']:.4f}] {r['doc_id']}: {r['preview']}" if args.ranked else f"{r['doc_id']}: {r['preview']}")
             if not n:
                 print("no matches")
         elif args.command == "check":

@@ -5,35 +5,42 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lexibrook.functions.text import STOPWORDS, raw_tokens, text_column
+from lexibrook.functions.text import text_column, tokens
+from lexibrook.sources.files import open_path
 
 #: Documents for one row of a posting list: a term that stands in all documents has many rows, none of them large.
 LIST_SPAN = 4096
 
 
-def occurrences(docs: DataFrame) -> DataFrame:
-    """(doc_id, term): a row for each token."""
-    return docs.select("doc_id", F.explode(raw_tokens(text_column(docs))).alias("term")).where(~F.col("term").isin(*STOPWORDS))
-
-
 def postings(docs: DataFrame) -> DataFrame:
-    """One row for each term of each document. doc_ids must be unique: see newest()."""
-    return occurrences(docs).groupBy("term", "doc_id").agg(F.count("*").alias("tf"))
+    """One row for each term of each document, (term, doc_id, tf). doc_ids must be unique: see newest().
+
+    A document's terms are counted within its row: its tokens are sorted, and a term's count is the length of its run. So nothing is
+    shuffled. Null or empty text, or text of stop words alone, gives no rows."""
+    words = docs.select("doc_id", F.array_sort(tokens(text_column(docs))).alias("_words"))
+    first = lambda i: (i == 0) | (F.get("_words", i) != F.get("_words", i - 1))
+    runs = words.where(F.size("_words") > 0).withColumn("_at", F.filter(F.sequence(F.lit(0), F.size("_words") - 1), first))
+    each = F.transform("_at", lambda at, k: F.struct(F.get("_words", at).alias("term"), (F.coalesce(F.get("_at", k + 1), F.size("_words")) - at).cast("long").alias("tf")))
+    return runs.select("doc_id", F.explode(each).alias("_p")).select("_p.term", "doc_id", "_p.tf")
 
 
 def newest(docs: DataFrame, version: str = "version") -> DataFrame:
-    """One row for each doc_id, that of the greatest version: adding a document again replaces it."""
-    nth = F.row_number().over(Window.partitionBy("doc_id").orderBy(F.desc(version)))
+    """One row for each doc_id, that of the greatest version: adding a document again replaces it. Ties go to the least text."""
+    nth = F.row_number().over(Window.partitionBy("doc_id").orderBy(F.desc(version), *[c for c in ("text",) if c in docs.columns]))
     return docs.withColumn("_nth", nth).where("_nth = 1").drop("_nth")
 
 
 def write_postings(docs: DataFrame, path: str, mode: str = "overwrite") -> None:
     """The index as Parquet, in ranges of terms, so that a query's terms meet few row groups.
 
-    Ranges of (term, doc_id) already keep a posting's tokens together, so one shuffle serves for counting and for order; a common
-    term is split by doc_id over as many ranges as it needs."""
-    ranges = occurrences(docs).repartitionByRange("term", "doc_id").groupBy("term", "doc_id").agg(F.count("*").alias("tf"))
-    ranges.sortWithinPartitions("term", "doc_id").write.mode(mode).parquet(path)
+    Postings are first written as they come, next to the index: finding the bounds of the ranges reads their terms there and doesn't
+    tokenize again. One shuffle puts them in order; a common term is split by doc_id over as many ranges as it needs."""
+    first = f"{path.rstrip('/')}.unsorted"
+    postings(docs).write.mode("overwrite").parquet(first)
+    rows = docs.sparkSession.read.schema("term string, doc_id bigint, tf bigint").parquet(first)
+    rows.repartitionByRange("term", "doc_id").sortWithinPartitions("term", "doc_id").write.mode(mode).parquet(path)
+    fs, at = open_path(first)
+    fs.delete_dir(at)
 
 
 def without(index: DataFrame, removed: DataFrame) -> DataFrame:

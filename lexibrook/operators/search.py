@@ -1,4 +1,8 @@
-"""Boolean search and TF-IDF ranking over postings."""
+"""Boolean search and TF-IDF ranking over postings.
+
+Scores are ranked rounded to DIGITS, so that ranks don't depend on the order of additions; `exact` is the sum before rounding, for
+display. Edge cases: documents without tokens (null or empty text) match nothing and score 0 as candidates; an empty index gives no
+rows; postings of documents that are gone keep their place in results, with an empty preview; extra columns of documents are ignored."""
 
 from __future__ import annotations
 
@@ -53,11 +57,11 @@ def count_documents(docs: DataFrame) -> DataFrame:
 
 
 def scored(docs: DataFrame, index: DataFrame, terms: list[str]) -> DataFrame:
-    """(doc_id, m, score): m of the distinct terms stand in the document; score sums tf * idf, rounded to DIGITS."""
+    """(doc_id, m, score, exact): m of the distinct terms stand in the document; exact sums tf * idf, score is that rounded to DIGITS."""
     terms = sorted(set(terms))
     found = index.where(F.col("term").isin(*terms) if terms else F.lit(False))
     weights = F.broadcast(idf(found, count_documents(docs)).select("term", "idf"))  # a row for each query term
-    return found.join(weights, "term").groupBy("doc_id").agg(F.count("*").alias("m"), F.round(F.sum(F.col("tf") * F.col("idf")), DIGITS).alias("score"))
+    return found.join(weights, "term").groupBy("doc_id").agg(F.count("*").alias("m"), F.sum(F.col("tf") * F.col("idf")).alias("exact")).select("doc_id", "m", F.round("exact", DIGITS).alias("score"), "exact")
 
 
 def numbered(hits: DataFrame, repeats: bool = False) -> DataFrame:
@@ -80,18 +84,18 @@ def rank_documents(docs: DataFrame, index: DataFrame, candidates: DataFrame, ter
     return numbered(candidates.join(scores, "doc_id", "left").select("doc_id", F.coalesce("score", F.lit(0.0)).alias("score")))
 
 
-def hits(docs: DataFrame, index: DataFrame, query: str, mode: str = "and") -> DataFrame:
-    """(doc_id, score): the test of the mode and the score come from one aggregate."""
+def hits(docs: DataFrame, index: DataFrame, query: str, mode: str = "and", exact: bool = False) -> DataFrame:
+    """(doc_id, score), with exact also that column: the test of the mode and the score come from one aggregate."""
     terms = sorted(set(query_terms(query)))
     if terms:
         checked(mode)
     found = scored(docs, index, terms)
-    return (found if mode == "or" else found.where(F.col("m") == len(terms))).select("doc_id", "score")
+    return (found if mode == "or" else found.where(F.col("m") == len(terms))).select("doc_id", "score", *["exact"] * exact)
 
 
-def search_ranked(docs: DataFrame, index: DataFrame, query: str, mode: str = "and") -> DataFrame:
-    """(rank, doc_id, score). An empty query has no results, whatever the mode."""
-    return numbered(hits(docs, index, query, mode))
+def search_ranked(docs: DataFrame, index: DataFrame, query: str, mode: str = "and", exact: bool = False) -> DataFrame:
+    """(rank, doc_id, score), with exact also that column. An empty query has no results, whatever the mode."""
+    return numbered(hits(docs, index, query, mode, exact))
 
 
 def search_top(docs: DataFrame, index: DataFrame, query: str, mode: str = "or", k: int = 10) -> DataFrame:

@@ -17,7 +17,7 @@ STOP = ", ".join(f"'{w}'" for w in tx.STOPWORDS)
 #: d: documents, t: tokens with stop words, p: postings
 BASE = rf"""d AS (SELECT doc_id, text FROM documents),
 t AS (SELECT doc_id, unnest(regexp_extract_all(lower(text), '[\p{{L}}\p{{N}}]+')) AS term FROM d),
-p AS (SELECT term, doc_id, count(*) AS tf FROM t WHERE term NOT IN ({STOP}) GROUP BY ALL)"""
+p AS MATERIALIZED (SELECT term, doc_id, count(*) AS tf FROM t WHERE term NOT IN ({STOP}) GROUP BY ALL)"""
 RANKED, SPURIOUS = "thtion ertion eriner", 1_000_000_000
 
 
@@ -219,7 +219,7 @@ def search_batch(docs, spark):
 # ranking
 
 SCORED = f"""{BASE}, df AS (SELECT term, count(*) AS df FROM p GROUP BY term), n AS (SELECT count(*) AS n FROM d),
-s AS (SELECT doc_id, count(*) AS m, round(sum(tf * ln(n / df)), 6) AS score FROM p JOIN df USING (term), n WHERE term IN ('thtion', 'ertion', 'eriner') GROUP BY doc_id)"""
+s AS (SELECT doc_id, count(*) AS m, sum(tf * ln(n / df)) AS exact, round(sum(tf * ln(n / df)), 6) AS score FROM p JOIN df USING (term), n WHERE term IN ('thtion', 'ertion', 'eriner') GROUP BY doc_id)"""
 
 
 @query("SELECT term, df, round(ln(n / df), 6) AS idf FROM df, n UNION ALL SELECT 'zzunknown', 0, 0.0", SCORED)
@@ -234,9 +234,9 @@ def rank_scores(docs, spark):
     return search.scored(docs, ix.postings(docs), RANKED.split()).select("doc_id", "score")
 
 
-@query("SELECT row_number() OVER (ORDER BY coalesce(score, 0) DESC, doc_id) AS rank, doc_id, coalesce(score, 0) AS score FROM (SELECT doc_id FROM d WHERE doc_id % 5 = 0) LEFT JOIN s USING (doc_id)", SCORED)
+@query("SELECT row_number() OVER (ORDER BY coalesce(score, 0) DESC, doc_id) AS rank, doc_id, coalesce(score, 0) AS score FROM d LEFT JOIN s USING (doc_id)", SCORED)
 def rank_documents(docs, spark):
-    return search.rank_documents(docs, ix.postings(docs), docs.where("doc_id % 5 = 0").select("doc_id"), RANKED.split())
+    return search.rank_documents(docs, ix.postings(docs), docs.select("doc_id"), RANKED.split())
 
 
 @query("SELECT row_number() OVER (ORDER BY score DESC, doc_id) AS rank, doc_id, score FROM s WHERE m = 3", SCORED)
@@ -249,10 +249,10 @@ def search_ranked_or(docs, spark):
     return search.search_ranked(docs, ix.postings(docs), RANKED, "or")
 
 
-@query("SELECT row_number() OVER (ORDER BY score DESC, doc_id) AS rank, printf('%.4f', score) AS score_text, doc_id, left(text, 80) AS preview FROM s JOIN d USING (doc_id)", SCORED)
+@query("SELECT row_number() OVER (ORDER BY score DESC, doc_id) AS rank, printf('%.4f', exact) AS score_text, doc_id, left(text, 80) AS preview FROM s JOIN d USING (doc_id)", SCORED)
 def search_ranked_preview(docs, spark):
-    out = search.hydrate(search.search_ranked(docs, ix.postings(docs), RANKED, "or"), docs, 80)
-    return out.select("rank", F.format_string("%.4f", "score").alias("score_text"), "doc_id", "preview")
+    out = search.hydrate(search.search_ranked(docs, ix.postings(docs), RANKED, "or", exact=True), docs, 80)
+    return out.select("rank", F.format_string("%.4f", "exact").alias("score_text"), "doc_id", "preview")
 
 
 @query("SELECT row_number() OVER (ORDER BY score DESC, doc_id) AS rank, doc_id, score FROM s ORDER BY rank LIMIT 10", SCORED)
@@ -280,12 +280,19 @@ def rec_header(docs, spark):
     return _encoded(docs).select("doc_id", part(1, 2).alias("magic_hex"), part(3, 4).alias("len_hex"), part(11, 8).alias("id_hex"))
 
 
-@query()
+#: The checksum as a fold over the bytes of id and text; its table follows from the polynomial.
+CRC = """tab AS (SELECT list(list_reduce(range(8), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, i) ORDER BY i) AS t FROM range(256) r(i)),
+h AS (SELECT doc_id, lpad(printf('%X', strlen(text)), 8, '0') AS len, lpad(printf('%X', doc_id), 16, '0') || hex(encode(text)) AS body FROM documents),
+c AS (SELECT doc_id, len, body, xor(list_reduce(list_transform(regexp_extract_all(body, '..'), lambda x: ('0x' || x)::BIGINT), lambda c, b: xor(t[(xor(c, b) & 255) + 1], c >> 8), 4294967295::BIGINT), 4294967295) AS crc FROM h, tab),
+r AS (SELECT doc_id, crc, unhex('4647' || len || lpad(printf('%X', crc), 8, '0') || body) AS record FROM c)"""
+
+
+@query("SELECT doc_id, sha256(record) AS record_sha256, octet_length(record)::BIGINT AS n_bytes FROM r", CRC)
 def rec_encode(docs, spark):
     return _encoded(docs).select("doc_id", F.sha2("record", 256).alias("record_sha256"), F.octet_length("record").cast("long").alias("n_bytes"))
 
 
-@query()
+@query("SELECT doc_id, crc, true AS ok FROM r", CRC)
 def rec_checksum(docs, spark):
     r = _encoded(docs).select("doc_id", F.crc32(F.concat(F.unhex(records.number(F.col("doc_id"), 16)), "payload")).alias("crc"), records.field(F.col("record"), 7, 4).cast("long").alias("stored"))
     return r.select("doc_id", "crc", (F.col("crc") == F.col("stored")).alias("ok"))
@@ -297,25 +304,62 @@ def rec_roundtrip(docs, spark):
     return _encoded(docs).withColumn("f", f).select("doc_id", (F.col("f.error").isNull() & (F.col("f.doc_id") == F.col("doc_id")) & (F.col("f.payload") == F.col("payload"))).alias("ok"))
 
 
-def _file(docs):
-    """Documents as records of one file, of which that of doc_id 150 is bad."""
-    return records.offsets(docs).select(F.lit("log").alias("path"), "doc_id", "size", "offset", (F.col("doc_id") == 150).alias("bad"))
+SEGMENT, BAD, TORN = 1000, 150, b"FG\0torn\0\0"
+#: z: documents as records of files of SEGMENT ids; e: for each of the three folders below, what a scan keeps of each of its files.
+FOLDERS = f"""z AS (SELECT doc_id, doc_id // {SEGMENT} AS segment, 18 + strlen(text) AS size, sum(18 + strlen(text)) OVER (PARTITION BY doc_id // {SEGMENT} ORDER BY doc_id) - 18 - strlen(text) AS pos FROM documents),
+k AS (SELECT z.*, segment <> {BAD // SEGMENT} OR pos < (SELECT pos FROM z WHERE doc_id = {BAD}) AS whole FROM z),
+e AS (SELECT folder, segment, count(*) FILTER (WHERE folder <> 'corrupt' OR whole) AS n_valid, coalesce(sum(size) FILTER (WHERE folder <> 'corrupt' OR whole), 0)::BIGINT AS good_offset,
+  sum(size)::BIGINT + CASE WHEN folder = 'torn' AND segment = (SELECT max(segment) FROM z) THEN {len(TORN)} ELSE 0 END AS total FROM k, (VALUES ('clean'), ('corrupt'), ('torn')) f(folder) GROUP BY folder, segment),
+s AS (SELECT *, CASE WHEN good_offset = total THEN 'ok' WHEN folder = 'corrupt' THEN 'corruption' ELSE 'incomplete_tail' END AS status FROM e)"""
+
+
+def _damage(spark, at: str, doc_id: int, torn: bool) -> None:
+    """Flips the last byte of a document's record in one file of the folder, or appends TORN to that file."""
+    scanned = records.valid(records.read_records(spark, at))
+    row = scanned.where(F.col("doc_id") == doc_id).select("path", (F.col("offset") + records.HEADER + F.octet_length("payload")).alias("end")).first()
+    fs, _ = files.open_path(at)
+    with fs.open_input_stream(row["path"]) as f:
+        data = bytearray(f.read())  # one file of SEGMENT documents
+    if torn:
+        data += TORN
+    else:
+        data[row["end"] - 1] ^= 255
+    with fs.open_output_stream(row["path"]) as f:
+        f.write(bytes(data))
+
+
+def _written(docs, spark, name: str) -> str:
+    """A folder of record files in the shared folder, each of SEGMENT ids in order: clean, corrupt (the record of BAD) or torn (the last file)."""
+    at, last = files.shared_dir(spark, f"records-{name}"), docs.agg(F.max("doc_id")).first()[0]
+    rows = docs.select(F.expr(f"cast(doc_id div {SEGMENT} AS int)").alias("segment"), "doc_id", F.encode("text", "UTF-8").alias("payload"))
+    records.append_records(rows.repartitionById(last // SEGMENT + 1, "segment").sortWithinPartitions("doc_id"), at)
+    if name != "clean":
+        _damage(spark, at, BAD if name == "corrupt" else last, name == "torn")
+    return at
 
 
-PREFIX = f"{SIZES}, k AS (SELECT * FROM z WHERE pos < (SELECT pos FROM z WHERE doc_id = 150))"
+def _ends(spark, at: str, name: str):
+    """(folder, segment, path, n_valid, status, good_offset, total) of each file; commits number files by segment."""
+    ends = records.status(records.read_records(spark, at))
+    return ends.select(F.lit(name).alias("folder"), F.regexp_extract("path", r"-(\d+)\.rec$", 1).cast("bigint").alias("segment"), "path", "n_valid", "status", "good_offset", "total")
 
 
-@query("SELECT doc_id, pos::BIGINT AS offset FROM k", PREFIX)
+@query("SELECT segment, doc_id, pos::BIGINT AS offset FROM k WHERE whole", FOLDERS)
 def rec_scan_prefix(docs, spark):
-    return storage.valid_prefix(_file(docs)).select("doc_id", "offset")
+    found = records.valid(records.read_records(spark, _written(docs, spark, "corrupt")))
+    return found.select(F.regexp_extract("path", r"-(\d+)\.rec$", 1).cast("bigint").alias("segment"), F.col("doc_id").cast("bigint").alias("doc_id"), "offset")
 
 
 @query("SELECT doc_id, replace(replace(text, chr(13) || chr(10), chr(10)), chr(13), chr(10)) AS text FROM documents", "")
 def src_text(docs, spark):
-    return docs.select("doc_id", F.regexp_replace(files.strict_text(F.encode("text", "UTF-8")), "\r\n?", "\n").alias("text"))
+    """Each document as a file of its own, in the shared folder, read as text files are; the writer ends each with a line feed."""
+    at = files.shared_dir(spark, "text-files")
+    docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).write.partitionBy("doc_id").text(at)
+    found = files.read_text_files(spark, at)
+    return found.select(F.regexp_extract("path", r"/doc_id=(-?\d+)/", 1).cast("bigint").alias("doc_id"), F.substring("text", F.lit(1), F.length("text") - 1).alias("text"))
 
 
-@query()
+@query("SELECT doc_id, true AS ok, true AS rejected, true AS mended FROM documents", "")
 def src_decode(docs, spark):
     torn = F.concat(F.encode("text", "UTF-8"), F.unhex(F.lit("C3")))
     strict = F.try_validate_utf8(torn.cast("string"))
@@ -334,11 +378,14 @@ def _log(docs):
     return first.unionByName(docs.where(IN_LOG).select("doc_id", F.concat("text", F.lit(" again")).alias("text"), (F.col("doc_id") + SPURIOUS).alias("offset")))
 
 
-@query("SELECT count(*) AS n_kept, sum(size)::BIGINT AS bytes_kept, ((SELECT sum(size) FROM z) - sum(size))::BIGINT AS bytes_cut FROM k", PREFIX)
+@query("SELECT segment, n_valid AS n_kept, good_offset AS bytes_kept, total - good_offset AS bytes_cut, true AS valid_after FROM e WHERE folder = 'corrupt'", FOLDERS)
 def store_open(docs, spark):
-    rows = _file(docs)
-    kept = storage.valid_prefix(rows).agg(F.count("*").alias("n_kept"), F.sum("size").alias("bytes_kept"))
-    return kept.crossJoin(rows.agg(F.sum("size").alias("n"))).select("n_kept", "bytes_kept", (F.col("n") - F.col("bytes_kept")).alias("bytes_cut"))
+    """Opening cuts each file to its valid prefix: what was cut is the scan before, valid_after the scan after."""
+    at = _written(docs, spark, "corrupt")
+    before = spark.createDataFrame(_ends(spark, at, "corrupt").toArrow())  # a row for each file
+    storage.cut_tails(before)
+    after = _ends(spark, at, "corrupt").select("segment", F.col("n_valid").alias("n_kept"), F.col("total").alias("bytes_kept"), (F.col("status") == "ok").alias("valid_after"))
+    return after.join(before.select("segment", (F.col("total") - F.col("good_offset")).alias("bytes_cut")), "segment").select("segment", "n_kept", "bytes_kept", "bytes_cut", "valid_after")
 
 
 @query("SELECT doc_id, text FROM documents", "")
@@ -348,7 +395,7 @@ def store_scan(docs, spark):
 
 @query("SELECT doc_id, text FROM documents WHERE doc_id = 42", "")
 def store_get(docs, spark):
-    return docs.where("doc_id = 42").select("doc_id", "text")
+    return storage.lookup(docs, 42)
 
 
 @query("SELECT DISTINCT doc_id FROM s", LOG)
@@ -356,35 +403,37 @@ def store_ids(docs, spark):
     return docs.where(STORED).select("doc_id").distinct()
 
 
-@query("SELECT DISTINCT doc_id FROM documents WHERE doc_id % 7 <> 3 AND doc_id % 2 = 0", "")
+@query("SELECT DISTINCT doc_id FROM documents WHERE doc_id % 7 <> 3", "")
 def store_append_guard(docs, spark):
-    return storage.already_stored(docs.where("doc_id % 2 = 0"), docs.where(STORED))
+    return storage.already_stored(docs, docs.where(STORED))
 
 
-@query("SELECT (SELECT max(doc_id) FROM s) + row_number() OVER (ORDER BY doc_id) AS new_id, doc_id AS source_id FROM documents WHERE doc_id % 3 = 0", LOG)
+@query("SELECT (SELECT max(doc_id) FROM s) + row_number() OVER (ORDER BY doc_id) AS new_id, doc_id AS source_id FROM documents", LOG)
 def store_next_ids(docs, spark):
-    return storage.next_ids(docs.where("doc_id % 3 = 0").select(F.col("doc_id").alias("source_id")), docs.where(STORED), "source_id")
+    return storage.next_ids(docs.select(F.col("doc_id").alias("source_id")), docs.where(STORED), "source_id")
 
 
-ENDS = """SELECT path, n_valid, status, good_offset, total FROM (SELECT 'clean' AS path, count(*) AS n_valid, 'ok' AS status, sum(size)::BIGINT AS good_offset, sum(size)::BIGINT AS total FROM z
-UNION ALL SELECT 'corrupt', count(*), 'corruption', sum(size)::BIGINT, (SELECT sum(size) FROM z)::BIGINT FROM k
-UNION ALL SELECT 'torn', (SELECT count(*) FROM z), 'incomplete_tail', (SELECT sum(size) FROM z)::BIGINT, (SELECT sum(size) FROM z)::BIGINT + 9)"""
+KINDS = ("clean", "corrupt", "torn")
 
 
-@query(ENDS, PREFIX)
+@query("SELECT folder, segment, n_valid, status, good_offset, total FROM s", FOLDERS)
 def wal_scan_status(docs, spark):
-    rows = _file(docs)
-    total = rows.groupBy().agg(F.sum("size").alias("total"), F.count("*").alias("n"))
-    clean = total.select(F.lit("clean").alias("path"), F.col("n").alias("n_valid"), F.lit("ok").alias("status"), F.col("total").alias("good_offset"), "total")
-    kept = storage.valid_prefix(rows).agg(F.count("*").alias("n_valid"), F.sum("size").alias("good_offset"))
-    corrupt = kept.crossJoin(total).select(F.lit("corrupt").alias("path"), "n_valid", F.lit("corruption").alias("status"), "good_offset", "total")
-    torn = total.select(F.lit("torn").alias("path"), F.col("n").alias("n_valid"), F.lit("incomplete_tail").alias("status"), F.col("total").alias("good_offset"), (F.col("total") + 9).alias("total"))
-    return clean.unionByName(corrupt).unionByName(torn)
+    found = [_ends(spark, _written(docs, spark, name), name).drop("path") for name in KINDS]
+    return found[0].unionByName(found[1]).unionByName(found[2])
 
 
-@query(f"SELECT path, good_offset AS keep_bytes, greatest(total - good_offset, 0) AS removed FROM ({ENDS})", PREFIX)
+@query("SELECT folder, segment, good_offset AS keep_bytes, total - good_offset AS removed, 'ok' AS status FROM s", FOLDERS)
 def wal_truncate(docs, spark):
-    return wal_scan_status(docs, spark).select("path", F.col("good_offset").alias("keep_bytes"), F.greatest(F.col("total") - F.col("good_offset"), F.lit(0)).alias("removed"))
+    """Bad tails are cut off the files; keep_bytes and status are those of a scan after that."""
+    out = None
+    for name in KINDS:
+        at = _written(docs, spark, name)
+        before = spark.createDataFrame(_ends(spark, at, name).toArrow())  # a row for each file
+        storage.cut_tails(before)
+        after = _ends(spark, at, name).select("folder", "segment", F.col("total").alias("keep_bytes"), "status")
+        both = after.join(before.select("segment", (F.col("total") - F.col("good_offset")).alias("removed")), "segment").select("folder", "segment", "keep_bytes", "removed", "status")
+        out = both if out is None else out.unionByName(both)
+    return out
 
 
 @query(f"SELECT doc_id, text FROM documents WHERE NOT ({STORED})", "")

@@ -1,11 +1,34 @@
-"""Text files as documents, strict or lenient, and binary payloads as text."""
+"""Text files as documents, strict or lenient, binary payloads as text, and the folder that driver and executors share."""
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+def open_path(path: str):
+    """(pyarrow file system, path in it), for drivers and executors alike."""
+    from pyarrow import fs
+
+    return fs.FileSystem.from_uri(path) if "://" in path or path.startswith("file:/") else (fs.LocalFileSystem(), path)
+
+
+def shared_dir(spark: SparkSession, name: str) -> str:
+    """A fresh path below spark.checkpoint.dir, which driver and executors share.
+
+    Only a local session may lack the setting; it gets a temporary folder then."""
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not base:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        base = "file://" + tempfile.mkdtemp(prefix="lexibrook-")
+        spark.conf.set("spark.checkpoint.dir", base)
+    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
 def strict_text(payload: Column) -> Column:
     """Fails on bytes that aren't UTF-8."""
     return F.decode(payload, "UTF-8")
@@ -17,6 +40,6 @@ def lenient_text(payload: Column) -> Column:
 
 
 def read_text_files(spark: SparkSession, path: str) -> DataFrame:
-    """(path, text) of whole files, strict, with every line end as a line feed."""
-    files = spark.read.format("binaryFile").load(path)
+    """(path, text) of whole files, in folders below too, strict, with every line end as a line feed. No file, no row."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
     return files.select("path", F.regexp_replace(strict_text(F.col("content")), "\r\n?", "\n").alias("text"))

@@ -1,20 +1,29 @@
 """Record files: 'FG', length, CRC-32 and id (big-endian, 18 bytes), then the payload; the CRC covers id and payload.
 
 `spark.read.format("lexibrook_records")` gives the valid prefix of each file and one row that says how it ended. Record
-boundaries depend on all earlier lengths, so a file is read by one task, as a stream; files are read in parallel."""
+boundaries depend on all earlier lengths, so a file is read by one task, as a stream; files are read in parallel.
+
+An append is one commit: each task writes a hidden file, forced to the disk, and the driver then shows them all under the next commit
+number, COMMIT-TASK.rec. So the order of names is the order of commits. A null payload is an empty one; a null id is an error; a
+folder without files has no records; other columns are ignored."""
 
 from __future__ import annotations
 
+import os
+import re
 import struct
 import uuid
 import zlib
 from collections.abc import Iterator
 from decimal import Decimal
+from itertools import chain
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceWriter, InputPartition, WriterCommitMessage
 
+from lexibrook.sources.files import open_path
+
 MAGIC, HEADER, MOST_ID = b"FG", 18, (1 << 64) - 1
 SCHEMA = "path string, offset bigint, length bigint, checksum bigint, doc_id decimal(20,0), payload binary, status string, total bigint, reason string"
 
@@ -94,12 +103,6 @@ def scan(stream, total: int) -> Iterator[tuple]:
     yield at, None, None, None, None, status, reason
 
 
-def open_path(path: str):
-    from pyarrow import fs
-
-    return fs.FileSystem.from_uri(path) if ":/" in path else (fs.LocalFileSystem(), path)
-
-
 def files_at(path: str) -> list[tuple[str, int]]:
     """(path, size) of the files there; none if there is nothing."""
     from pyarrow import fs as pafs
@@ -132,36 +135,57 @@ class Reader(DataSourceReader):
                 yield part.path, at, length, checksum, None if doc_id is None else Decimal(doc_id), payload, status, part.size, reason
 
 
+def forced(fs, path: str) -> None:
+    """Has the disk hold a local file's bytes; other file systems do when a stream is closed."""
+    from pyarrow import fs as pafs
+
+    if isinstance(fs, pafs.LocalFileSystem):
+        at = os.open(path, os.O_RDONLY)
+        try:
+            os.fsync(at)
+        finally:
+            os.close(at)
+
+
 class Written(WriterCommitMessage):
-    def __init__(self, temporary: str, name: str) -> None:
-        self.temporary, self.name = temporary, name
+    def __init__(self, temporary: str | None) -> None:
+        self.temporary = temporary
 
 
 class Writer(DataSourceWriter):
-    """Each task writes a hidden file; the driver shows them all once every task is done: that is the commit."""
+    """Each task writes a hidden file; the driver shows them all once every task is done: that is the commit. One writer at a time."""
 
     def __init__(self, options: dict) -> None:
         self.path = options["path"]
 
     def write(self, rows: Iterator) -> Written:
+        first = next(rows, None)
+        if first is None:
+            return Written(None)
         fs, path = open_path(self.path)
         fs.create_dir(path, recursive=True)
-        name = f"{uuid.uuid4().hex}.rec"
-        with fs.open_output_stream(f"{path}/.{name}") as out:
-            for r in rows:
-                out.write(encode(int(r["doc_id"]), bytes(r["payload"])))
-        return Written(f"{path}/.{name}", f"{path}/{name}")
+        temporary = f"{path}/.{uuid.uuid4().hex}"
+        with fs.open_output_stream(temporary) as out:
+            for r in chain([first], rows):
+                if r["doc_id"] is None:
+                    raise InvalidDocumentId("null")
+                out.write(encode(int(r["doc_id"]), bytes(r["payload"] or b"")))
+        forced(fs, temporary)
+        return Written(temporary)
 
     def commit(self, messages: list) -> None:
-        fs, _ = open_path(self.path)
-        for m in messages:
-            if m is not None:
-                fs.move(m.temporary, m.name)
+        fs, path = open_path(self.path)
+        number = 1 + max((int(n[0]) for p, _ in files_at(self.path) if (n := re.match(r"\d+(?=-\d+\.rec$)", p.rpartition("/")[2]))), default=0)
+        for k, m in enumerate(messages):
+            if m is not None and m.temporary:
+                fs.move(m.temporary, f"{path}/{number:012}-{k:06}.rec")
+        if fs.type_name == "local" and os.path.isdir(path):
+            forced(fs, path)
 
     def abort(self, messages: list) -> None:
         fs, _ = open_path(self.path)
         for m in messages:
-            if m is not None:
+            if m is not None and m.temporary:
                 fs.delete_file(m.temporary)
 
 
@@ -186,7 +210,7 @@ def read_records(spark: SparkSession, path: str) -> DataFrame:
 
 
 def append_records(df: DataFrame, path: str) -> None:
-    """Appends df(doc_id, payload) to a folder of record files."""
+    """Appends df(doc_id, payload) to a folder of record files, in one commit."""
     df.sparkSession.dataSource.register(Records)
     df.select("doc_id", "payload").write.format("lexibrook_records").mode("append").save(path)
 
@@ -223,7 +247,7 @@ def truncate_tail(path: str, keep: int) -> int:
 
 
 def size_of(payload: Column) -> Column:
-    return F.octet_length(payload).cast("long") + HEADER
+    return F.coalesce(F.octet_length(payload), F.lit(0)).cast("long") + HEADER
 
 
 def number(n: Column, digits: int) -> Column:
@@ -231,7 +255,8 @@ def number(n: Column, digits: int) -> Column:
 
 
 def encoded(doc_id: Column, payload: Column) -> Column:
-    """binary; doc_id: bigint."""
+    """binary; doc_id: bigint. A null payload is an empty one."""
+    payload = F.coalesce(payload, F.lit(b""))
     body = F.concat(F.unhex(number(doc_id, 16)), payload)
     return F.concat(F.lit(MAGIC), F.unhex(number(F.octet_length(payload).cast("long"), 8)), F.unhex(number(F.crc32(body), 8)), body)
 

@@ -6,14 +6,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.streaming import StreamingQuery
 
 from lexibrook.plans.storage import replay
+from lexibrook.sources.records import files_at
 
 SCHEMA = "doc_id bigint, text string, offset bigint"
 
 
 def stored_documents(spark: SparkSession, path: str) -> DataFrame:
     """The documents at a path, or an empty frame where nothing was stored yet."""
-    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    if hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(hadoop):
+    if files_at(path):
         return spark.read.schema("doc_id bigint, text string").parquet(path)
     return spark.createDataFrame([], "doc_id bigint, text string")
 

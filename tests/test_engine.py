@@ -5,6 +5,7 @@ import os
 import random
 import struct
 import zlib
+from decimal import Decimal
 
 import pytest
 from pyspark.sql import functions as F
@@ -224,6 +225,79 @@ def test_replay_and_guard(spark):
     assert sorted((r.new_id, r.k) for r in new_ids.collect()) == [(1, 3), (2, 7), (3, 70_000)]
 
 
+def test_scores_are_shown_as_summed(spark):
+    """df = 201 of 1,000: ln(1000 / 201) = 1.6044503..., which rounds to 1.60445 first and would then be cut to 1.6044."""
+    docs = spark.range(1000).selectExpr("id AS doc_id", "IF(id < 201, 'rare word', 'word') AS text")
+    row = search.search_ranked(docs, ix.postings(docs), "rare", "or", exact=True).select("score", F.format_string("%.4f", "exact").alias("t")).first()
+    assert (row.score, row.t) == (1.60445, "1.6045") and f"{math.log(1000 / 201):.4f}" == "1.6045"
+
+
+def test_nulls_empty_tables_and_clashing_columns(spark):
+    names = ["term", "tf", "rank", "preview", "score", "exact", "_span", "_words", "_at", "_p", "n", "idf", "m", "kind"]
+    docs = docs_of(spark, {1: "python search", 2: None, 3: "", 4: "the of"})
+    more = docs.select("*", *[F.lit(k).alias(n) for k, n in enumerate(names)])
+    index = ix.postings(more)
+    assert sorted(map(tuple, index.collect())) == [("python", 1, 1), ("search", 1, 1)]
+    assert ix.stats(more, index).first().asDict() == {"n_docs": 4, "n_terms": 2}
+    assert [tuple(r) for r in search.search_ranked(more, index, "python").collect()] == [(1, 1, round(math.log(4), 6))]
+    assert [tuple(r) for r in search.hydrate(search.match(index, ["python"]), more, 3).collect()] == [(1, "pyt")]
+    assert consistency.report(more, index, more).first().ok
+    assert sorted((r.doc_id, r.size, r.offset) for r in records.offsets(more).collect()) == [(1, 31, 0), (2, 18, 31), (3, 18, 49), (4, 24, 67)]
+    none = more.where("false")
+    nothing = ix.postings(none)
+    assert search.search_ranked(none, nothing, "python", "or").count() == 0 and search.search_top(none, nothing, "python").count() == 0
+    assert search.rank_documents(none, nothing, docs.select("doc_id"), ["python"]).where("score = 0").count() == 4
+    assert consistency.report(none, nothing, none).first().ok and records.offsets(none).count() == 0
+    log = none.withColumn("offset", F.lit(0))
+    assert storage.replay(log, docs).count() == 0 and storage.replay_report(log, docs).first().asDict() == {"examined": 0, "recovered": 0, "skipped": 0}
+    assert storage.next_ids(none.select(F.col("doc_id").alias("k")), docs, "k").count() == 0
+
+
+def test_postings_count_runs_of_words(spark, tmp_path):
+    rng = random.Random(7)
+    docs = docs_of(spark, {k: " ".join(rng.choices(["aa", "b", "the", "Ccc", "é9"], k=rng.randrange(0, 300))) for k in range(40)})
+    want = {}
+    for r in docs.collect():
+        for w in tx.query_terms(r.text):
+            want[w, r.doc_id] = want.get((w, r.doc_id), 0) + 1
+    assert {(r.term, r.doc_id): r.tf for r in ix.postings(docs).collect()} == want
+    ix.write_postings(docs, str(tmp_path / "p"))
+    assert {(r.term, r.doc_id): r.tf for r in spark.read.parquet(str(tmp_path / "p")).collect()} == want and os.listdir(tmp_path) == ["p"]
+
+
+def test_commits_are_in_order_and_the_first_wins(spark, tmp_path):
+    root = str(tmp_path / "data")
+    engine = Engine(spark, root)
+    for k in range(12):
+        rows = [(7, f"version {k}".encode()), (100 + k, b"own")] + ([(3, None)] if k == 5 else [])
+        records.append_records(spark.createDataFrame(rows, "doc_id long, payload binary").repartition(3), f"{root}/log")
+    names = sorted(x for x in os.listdir(f"{root}/log") if not x.startswith((".", "_")))
+    assert [int(x.split("-")[0]) for x in names] == sorted(int(x.split("-")[0]) for x in names) and {int(x.split("-")[0]) for x in names} == set(range(1, 13))
+    with open(f"{root}/log/{names[-1]}", "ab") as f:
+        f.write(b"FG torn")
+    got = engine.recover()
+    assert (got["examined"], got["recovered"], got["skipped"], got["incomplete_tail"], got["corruption"], got["tail_truncated"], got["truncated_bytes"], got["completed"]) == (25, 14, 11, True, False, True, 7, False)
+    assert got["reason"] and engine.get(7) == "version 0" and engine.get(3) == ""
+    again = engine.recover()
+    assert again["completed"] and again["recovered"] == 0 and again["reason"] == "" and engine.stats()["next_id"] == 112
+    with pytest.raises(storage.DocumentNotFound):
+        engine.get(99)
+
+
+def test_add_guards_the_log_too(spark, tmp_path):
+    engine = Engine(spark, str(tmp_path / "data"))
+    records.append_records(spark.createDataFrame([(1, b"logged only")], "doc_id long, payload binary"), engine.at("log"))
+    with pytest.raises(storage.DuplicateDocument):
+        engine.add(docs_of(spark, {1: "other"}))
+    engine.add(docs_of(spark, {2: None, 4: "four"}).withColumn("path", F.lit("x")))
+    assert engine.get(2) == "" and engine.get(4) == "four" and {r.doc_id for r in engine.log().collect()} == {1, 2, 4}
+    assert engine.recover()["recovered"] == 1 and engine.get(1) == "logged only"
+    assert os.listdir(engine.at("incoming")) == [] if os.path.exists(engine.at("incoming")) else True
+    records.append_records(spark.createDataFrame([(Decimal(2**64 - 1), b"x")], "doc_id decimal(20,0), payload binary"), engine.at("log"))
+    with pytest.raises(Exception, match="2\\*\\*63"):
+        engine.log().collect()
+
+
 def test_text_files(spark, tmp_path):
     (tmp_path / "a.txt").write_bytes("é\r\nx\ry".encode())
     assert [r.text for r in files.read_text_files(spark, str(tmp_path)).collect()] == ["é\nx\ny"]
