@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Iterator
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lexibrook.sources.files import open_path as open_fs
+from lexibrook.sources.files import shared_dir
+
 #: Tasks that a key's rows are dealt over in spread_join. Ranges: bytes of the least and the largest one, and how many there are at most.
 SALT, LEAST_RANGE, LARGEST_RANGE, MOST_RANGES, LEAST_KEY = 64, 8 << 20, 256 << 20, 1 << 17, -(1 << 63)
 
@@ -17,19 +18,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession, name: str) -> str:
-    """A fresh path below spark.checkpoint.dir, which driver and executors share.
-
-    Only a local session may lack the setting; it gets a temporary folder then."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not base:
-        if not spark.sparkContext.master.startswith("local["):
-            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
-        base = "file://" + tempfile.mkdtemp(prefix="lexibrook-")
-        spark.conf.set("spark.checkpoint.dir", base)
-    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
-
-
 def saved(df: DataFrame, name: str, codec: str = "zstd") -> DataFrame:
     """df, written once to the shared folder and read again: lost executors don't recompute what came before."""
     path = shared_dir(df.sparkSession, name)
@@ -45,13 +33,6 @@ def forget(df: DataFrame) -> None:
     fs.delete_dir(path)
 
 
-def open_fs(path: str):
-    """(pyarrow file system, path in it), for drivers and executors alike."""
-    from pyarrow import fs
-
-    return fs.FileSystem.from_uri(path) if "://" in path or path.startswith("file:/") else (fs.LocalFileSystem(), path)
-
-
 def values(column) -> Iterator:
     """The column's values one by one: a batch of long texts isn't held twice."""
     return (x.as_py() for x in column)
