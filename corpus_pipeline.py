@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from lexibrook.llm import langid, mixing, packing, simhash
-from lexibrook.llm.common import saved, table
+from lexibrook.llm.common import forget, saved, table
 from lexibrook.llm.tokens import vocabulary_path
 
 
@@ -37,8 +37,11 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The stages applied to documents, each written and read again."""
-    docs = table(spark, sf_dir, "documents")
+    """The stages applied to documents, each written and read again; a stage's rows go once the next one's are written."""
+    docs, before = table(spark, sf_dir, "documents"), None
     for name, stage in STAGES:
         docs = saved(stage(spark, docs, sf_dir), f"pipeline-{name}")
+        if before is not None:
+            forget(before)
+        before = docs
     return docs
