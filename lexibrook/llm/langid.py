@@ -9,8 +9,9 @@ times, on labelled documents: those with a lang whose crc32(doc_id as text) mod
 of them (chosen by a hash of doc_id, whole texts); everything else covers all rows. The driver gets one number for each language
 and piece, whatever the input's size; a model of over MOST_BYTES is an error. Prediction sees the text alone.
 
-As a filter (keep_known), texts are also scored by a background in which all pieces are equally likely: a text that the background
-makes likelier than the best language does is in none of the languages (other languages, codes, noise), and goes.
+As a filter (keep_known), words are also scored by a background in which all pieces are equally likely. A text of a language is taken
+to have a share of NOISE background words (names, keys, codes): it goes, as one in none of the languages, if that mixture with its
+best language makes its words no likelier than the background alone does.
 
 Edge cases: null text, or text without a letter, is `und` with score 0; so is everything if nothing can be learned, and keep_known
 then keeps nothing; null doc_ids are never trained on and count as held out; repeated rows give one row each; an empty table gives no
@@ -33,7 +34,7 @@ from lexibrook.llm.common import saved, table, values
 from lexibrook.llm.tokens import encoder, vocabulary_path
 
 TRAIN_ROWS, ROUNDS, SMOOTH, CACHE, UNKNOWN, LONG = 20_000, 3, 0.1, 300_000, "und", 48
-SHORT, STRETCH, MOST_BYTES = 24, 50_000, 1 << 29
+SHORT, STRETCH, MOST_BYTES, NOISE = 24, 50_000, 1 << 29, 0.1
 LETTERS = re.compile(r"[^\W\d_]+").findall
 
 
@@ -191,7 +192,7 @@ def train(docs: DataFrame, path: str, rows: int = TRAIN_ROWS, rounds: int = ROUN
 
 class Scorer:
     """Scores texts by their words' log-probabilities, one row for each known word; keeps two generations of CACHE words. With
-    background, a last column scores words by pieces that are all equally likely."""
+    background, a row also holds how much likelier each language's mixture makes the word than the background does."""
 
     def __init__(self, model: Model, background: bool = False) -> None:
         import numpy as np
@@ -200,7 +201,15 @@ class Scorer:
         every = np.vstack([model.p, np.full_like(model.p[:1], 1.0 / max(1, model.p.shape[1]))]) if background else model.p
         self.p = every.T.copy()  # by piece, a number for each language
         self.alone = every.tolist()
-        self.known, self.before, self.rows, self.rows_before = {}, {}, np.zeros((1024, len(every))), None
+        self.known, self.before, self.rows, self.rows_before = {}, {}, np.zeros((1024, len(model.langs) * (1 + background))), None
+
+    def widened(self, logs):
+        import numpy as np
+
+        if not self.background:
+            return logs
+        n = len(self.model.langs)
+        return np.hstack([logs[:, :n], np.logaddexp(logs[:, :n] - logs[:, n:] + math.log(1 - NOISE), math.log(NOISE))])
 
     def renew(self) -> None:
         import numpy as np
@@ -244,14 +253,14 @@ class Scorer:
         step = max(64, 400_000 // (SHORT * self.p.shape[1]))
         for at in range(0, len(short), step):
             part = short[at : at + step]
-            self.rows[[self.known[w] for w in part]] = self.forwards(part)
+            self.rows[[self.known[w] for w in part]] = self.widened(self.forwards(part))
         for w in (w for w in new if len(w) > SHORT):
             edges = self.v.edges(w)
-            self.rows[self.known[w]] = [forward(edges, p, self.v.longest) for p in self.alone]
+            self.rows[self.known[w]] = self.widened(np.array([[forward(edges, p, self.v.longest) for p in self.alone]]))
 
     def predict(self, texts: Iterable[str | None]) -> list[tuple[str, float]]:
-        """(language, score) of each text; words are looked up for a stretch of texts of about STRETCH words at a time. A text that the
-        background makes likelier has no language."""
+        """(language, score) of each text; words are looked up for a stretch of texts of about STRETCH words at a time. With
+        background, a text that goes as keep_known says has no language."""
         import numpy as np
 
         if not self.model.langs:
@@ -268,7 +277,7 @@ class Scorer:
 
         for n, text in enumerate(texts):
             words = LETTERS((text or "").lower())
-            totals.append(np.zeros(len(self.alone)) if any(c.isalpha() for w in words for c in w) else None)
+            totals.append(np.zeros(self.rows.shape[1]) if any(c.isalpha() for w in words for c in w) else None)
             for at in range(0, len(words) if totals[n] is not None else 0, STRETCH):
                 held.append((n, words[at : at + STRETCH]))
                 size += len(held[-1][1])
@@ -277,19 +286,19 @@ class Scorer:
                     size = 0
         flush()
         n = len(self.model.langs)
-        none = [t is None or self.background and t[n] >= t[:n].max() for t in totals]
+        none = [t is None or self.background and t[n + int(t[:n].argmax())] <= 0 for t in totals]
         return [(UNKNOWN, 0.0) if x else (self.model.langs[int(t[:n].argmax())], float(1 / np.exp(t[:n] - t[:n].max()).sum())) for x, t in zip(none, totals)]
 
 
-def with_language(docs: DataFrame, model: Model, name: str = "lang_pred", score: str = "score", text: str = "text", background: bool = False) -> DataFrame:
-    """docs with two columns at the end; with background, `und` also where that is likelier than the best language."""
+def with_language(docs: DataFrame, model: Model, name: str = "lang_pred", score: str = "score", text: str = "text") -> DataFrame:
+    """docs with two columns at the end."""
     import pyarrow as pa
 
     n, at = len(docs.columns), docs.columns.index(text)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder.cache_clear()  # a worker that tokenized before would keep its words
-        scorer = Scorer(model, background)
+        scorer = Scorer(model)
         for b in batches:
             got = scorer.predict(values(b.column(at)))
             yield pa.RecordBatch.from_arrays([*b.columns[:n], pa.array([g[0] for g in got], pa.string()), pa.array([g[1] for g in got], pa.float64())], [*b.schema.names, name, score])
@@ -298,9 +307,21 @@ def with_language(docs: DataFrame, model: Model, name: str = "lang_pred", score:
 
 
 def keep_known(docs: DataFrame, model: Model) -> DataFrame:
-    """docs, with their own columns, but for those without a language: null text, no letter, or likelier under the background."""
-    row = docs.select(F.struct(*docs.columns).alias("row"), F.col("text").cast("string").alias("text"))
-    return with_language(row, model, background=True).where(F.col("lang_pred") != UNKNOWN).select("row.*")
+    """docs, with their own columns, but for those without a language: null text, no letter, or no likelier than background."""
+    import pyarrow as pa
+
+    at, plain = docs.columns.index("text"), isinstance(docs.schema["text"].dataType, T.StringType)
+    rows = docs.select(F.struct(*docs.columns).alias("row"), *[F.col("text").cast("string").alias("text")] * (not plain))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        encoder.cache_clear()
+        scorer = Scorer(model, background=True)
+        for b in batches:
+            texts = b.column(0).field(at) if plain else b.column(1)
+            keep = pa.array([lang != UNKNOWN for lang, _ in scorer.predict(values(texts))], pa.bool_())
+            yield pa.RecordBatch.from_arrays([b.column(0).filter(keep)], ["row"])
+
+    return rows.mapInArrow(run, T.StructType([T.StructField("row", docs.schema)])).select("row.*")
 
 
 def op6_language(spark: SparkSession, sf_dir: str) -> DataFrame:
