@@ -12,8 +12,8 @@ from pyspark.sql import functions as F
 from lexibrook.functions.text import query_terms, tokens
 
 MODES, DIGITS = ("and", "or"), 6
-#: Documents of equal score that are numbered in one task.
-RANK_SPAN = 65536
+#: Documents of equal score that are numbered in one task; results that are few, for hydrate.
+RANK_SPAN, FEW = 65536, 1000
 
 
 def checked(mode: str) -> str:
@@ -105,6 +105,13 @@ def search_top(docs: DataFrame, index: DataFrame, query: str, mode: str = "or",
 
 
 def hydrate(found: DataFrame, docs: DataFrame, n: int) -> DataFrame:
-    """Results with the first n characters of their texts; an empty preview where the document is gone."""
+    """Results with the first n characters of their texts; an empty preview where the document is gone.
+
+    Results are computed here. Up to FEW rows come to the driver, and their ids go to the scan of the texts, so that row groups without
+    them aren't read; more are joined with all texts."""
+    first = found.limit(FEW + 1).toArrow()
+    if first.num_rows <= FEW:
+        ids = [i for i in first["doc_id"].unique().to_pylist() if i is not None]
+        found, docs = docs.sparkSession.createDataFrame(first, found.schema), docs.where(F.col("doc_id").isin(*ids) if ids else F.lit(False))
     texts = docs.select("doc_id", F.substring("text", 1, n).alias("preview"))
     return found.join(texts, "doc_id", "left").withColumn("preview", F.coalesce("preview", F.lit("")))

@@ -253,6 +253,19 @@ def test_nulls_empty_tables_and_clashing_columns(spark):
     assert storage.next_ids(none.select(F.col("doc_id").alias("k")), docs, "k").count() == 0
 
 
+@pytest.mark.parametrize("few", [0, 1000])
+def test_hydration_of_few_and_many_results(spark, tmp_path, monkeypatch, few):
+    monkeypatch.setattr(search, "FEW", few)
+    docs_of(spark, {k: f"text {k}" for k in range(50)}).withColumn("preview", F.lit("other")).write.parquet(f"{tmp_path}/docs")
+    docs = spark.read.parquet(f"{tmp_path}/docs")
+    found = spark.createDataFrame([(7, 1.5), (7, 1.5), (99, 0.0), (None, 0.0)], "doc_id long, score double")
+    out = search.hydrate(found, docs, 6)
+    assert sorted(map(str, map(tuple, out.collect()))) == ["(7, 1.5, 'text 7')", "(7, 1.5, 'text 7')", "(99, 0.0, '')", "(None, 0.0, '')"]
+    assert out.columns == ["doc_id", "score", "preview"] and search.hydrate(found.where("false"), docs, 6).collect() == []
+    plan = out._jdf.queryExecution().toString()
+    assert ("In(doc_id, [7,99])" in plan) == (few > 0), plan
+
+
 def test_postings_count_runs_of_words(spark, tmp_path):
     rng = random.Random(7)
     docs = docs_of(spark, {k: " ".join(rng.choices(["aa", "b", "the", "Ccc", "é9"], k=rng.randrange(0, 300))) for k in range(40)})
