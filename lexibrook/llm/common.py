@@ -38,6 +38,20 @@ def values(column) -> Iterator:
     return (x.as_py() for x in column)
 
 
+def rested() -> None:
+    """Gives the system back what a worker process has freed; workers live on from stage to stage and would keep it beside the executor."""
+    import ctypes
+    import gc
+
+    import pyarrow as pa
+
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # of the GNU C library
+    if trim:
+        trim(0)
+
+
 def parallelism(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

@@ -30,11 +30,11 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lexibrook.llm.common import saved, table, values
+from lexibrook.llm.common import rested, saved, table, values
 from lexibrook.llm.tokens import encoder, vocabulary_path
 
-TRAIN_ROWS, ROUNDS, SMOOTH, CACHE, UNKNOWN, LONG = 20_000, 3, 0.1, 300_000, "und", 48
-SHORT, STRETCH, MOST_BYTES, NOISE = 24, 50_000, 1 << 29, 0.1
+TRAIN_ROWS, ROUNDS, SMOOTH, CACHE, UNKNOWN, LONG = 20_000, 3, 0.1, 150_000, "und", 48
+SHORT, STRETCH, MOST_BYTES, NOISE, SENT = 24, 50_000, 1 << 29, 0.1, 1000
 LETTERS = re.compile(r"[^\W\d_]+").findall
 
 
@@ -290,6 +290,14 @@ class Scorer:
         return [(UNKNOWN, 0.0) if x else (self.model.langs[int(t[:n].argmax())], float(1 / np.exp(t[:n] - t[:n].max()).sum())) for x, t in zip(none, totals)]
 
 
+def in_parts(batch, names: list[str]) -> Iterator:
+    """These columns as record batches of SENT rows, so that the executor doesn't hold a large one beside its heap."""
+    import pyarrow as pa
+
+    for at in range(0, max(map(len, batch)), SENT):
+        yield pa.RecordBatch.from_arrays([c.slice(at, SENT) for c in batch], names)
+
+
 def with_language(docs: DataFrame, model: Model, name: str = "lang_pred", score: str = "score", text: str = "text") -> DataFrame:
     """docs with two columns at the end."""
     import pyarrow as pa
@@ -298,10 +306,13 @@ def with_language(docs: DataFrame, model: Model, name: str = "lang_pred", score:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder.cache_clear()  # a worker that tokenized before would keep its words
+        rested()
         scorer = Scorer(model)
         for b in batches:
             got = scorer.predict(values(b.column(at)))
-            yield pa.RecordBatch.from_arrays([*b.columns[:n], pa.array([g[0] for g in got], pa.string()), pa.array([g[1] for g in got], pa.float64())], [*b.schema.names, name, score])
+            yield from in_parts([*b.columns[:n], pa.array([g[0] for g in got], pa.string()), pa.array([g[1] for g in got], pa.float64())], [*b.schema.names, name, score])
+        del scorer
+        rested()
 
     return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField(name, T.StringType()), T.StructField(score, T.DoubleType())]))
 
@@ -315,11 +326,14 @@ def keep_known(docs: DataFrame, model: Model) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder.cache_clear()
+        rested()
         scorer = Scorer(model, background=True)
         for b in batches:
             texts = b.column(0).field(at) if plain else b.column(1)
             keep = pa.array([lang != UNKNOWN for lang, _ in scorer.predict(values(texts))], pa.bool_())
-            yield pa.RecordBatch.from_arrays([b.column(0).filter(keep)], ["row"])
+            yield from in_parts([b.column(0) if keep.true_count == len(keep) else b.column(0).filter(keep)], ["row"])
+        del scorer
+        rested()
 
     return rows.mapInArrow(run, T.StructType([T.StructField("row", docs.schema)])).select("row.*")
 

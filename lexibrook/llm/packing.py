@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lexibrook.llm.common import open_fs, saved, shared_dir, table, values
+from lexibrook.llm.common import open_fs, rested, saved, shared_dir, table, values
 from lexibrook.llm.tokens import crc, encoder, vocabulary_path
 
 CAPACITY, END = 4096, 1
@@ -255,6 +255,8 @@ def pack(cut: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     ranked = cut.join(counts.select("length", "task", before.alias("before")).hint("merge"), ["length", "task"]).select(*names, (F.col("before") + F.col("nth")).alias("rank"))
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        encoder.cache_clear()  # no more texts are cut
+        rested()
         here, p = open_fs(at)
         with here.open_input_stream(p) as f:
             key, first, offset = np.frombuffer(f.read(), np.int64).reshape(-1, 3).T

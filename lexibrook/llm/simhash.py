@@ -20,7 +20,7 @@ from collections.abc import Iterator
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from lexibrook.llm.common import components, saved, spread_join, table, values
+from lexibrook.llm.common import components, rested, saved, spread_join, table, values
 
 RADIUS, LEAF, LEVELS = 3, 256, 3
 
@@ -60,6 +60,7 @@ def with_fingerprints(docs: DataFrame, shingle: int = 3, hashed: bool = False) -
         for b in batches:
             at, n = pa.array(range(n, n + b.num_rows), pa.int64()), n + b.num_rows
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([fingerprint_bits(t, shingle) for t in values(b.column(1))], pa.int64()), at, *b.columns[2:]], ["doc_id", "fp", "at", "row"][: b.num_columns + 1])
+        rested()
 
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"), *more).mapInArrow(run, "doc_id long, fp long, at long" + ", row long" * hashed)
 
