@@ -131,7 +131,7 @@ def grouped(ids: DataFrame) -> DataFrame:
     """ids with component (a fingerprint) and component_id (the least doc_id that links reach) of every row."""
     classes = saved(ids.groupBy("fp").agg(F.min("doc_id").alias("least")), "simhash-classes")
     joined = components(links(classes), "simhash-components")
-    labelled = classes.join(joined, classes.fp == joined.node, "left").select("fp", "least", F.coalesce("component", "fp").alias("component"))
+    labelled = classes.join(joined.hint("merge"), classes.fp == joined.node, "left").select("fp", "least", F.coalesce("component", "fp").alias("component"))
     least = labelled.groupBy("component").agg(F.min("least").alias("component_id"))
     of_fp = spread_join(labelled, least, ["component"], F.xxhash64("fp")).select("fp", "component", "component_id")
     return spread_join(ids, of_fp, ["fp"], F.col("at"))

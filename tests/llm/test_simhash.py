@@ -100,3 +100,12 @@ def test_each_group_keeps_a_row_where_doc_ids_are_repeated_or_null(spark):
     rows = [(3, a, 0)] + [(5, t, k) for k in range(4) for t in (a, b)] + [(5, b, 0), (None, c, 1), (None, c, 1), (None, c, 2), (None, d, 1), (7, d, 1)]
     got = simhash.keep_one(spark.createDataFrame(rows, "doc_id long, text string, n int")).collect()
     assert sorted((r.doc_id or 0, r.text) for r in got) == sorted([(3, a), (5, b), (0, c), (0, d), (7, d)])
+
+
+def test_exploded_rows_are_never_broadcast(spark):
+    fps = spark.range(2000).select(F.xxhash64("id").alias("fp"))
+    keyed = fps.select("fp", F.explode(F.array(*[F.lit(v) for v in range(15)])).alias("t"))
+    full = keyed.groupBy("t").agg(F.count("*").alias("n"))
+    out = simhash.spread_join(keyed, full, ["t"], F.xxhash64("fp"))
+    assert out.count() == 30000
+    assert "Broadcast" not in out._jdf.queryExecution().executedPlan().toString()
