@@ -319,6 +319,25 @@ def test_text_files(spark, tmp_path):
         files.read_text_files(spark, str(tmp_path)).collect()
 
 
+def test_text_files_are_listed_and_read_in_tasks(spark, tmp_path):
+    texts = {k: f"{k}\r\n" * (k % 3) for k in range(-5, 2100)}
+    folders = files.write_text_files(docs_of(spark, texts | {7: None}).coalesce(1), f"file://{tmp_path}/many")
+    found = files.read_text_files(spark, *folders)
+    assert found.inputFiles() == []  # Spark's reader would hold each file on the driver
+    got = {int(r.path.rpartition("_")[2][:-4]): r.text for r in found.collect()}
+    assert got == {k: t.replace("\r\n", "\n") for k, t in texts.items()} | {7: ""}
+    assert len(os.listdir(folders[0].removeprefix("file://"))) == 3
+    deep = tmp_path / "many" / "x y" / "z"
+    deep.mkdir(parents=True)
+    for name in ("a.txt", "_hidden", ".hidden"):
+        (deep / name).write_text(name)
+    for at in (str(tmp_path / "many" / "x y"), f"file://{tmp_path}/many"):
+        mine = [(r.path, r.text) for r in files.read_text_files(spark, at).collect() if r.path.endswith("a.txt")]
+        assert mine == [(f"file:{deep}/a.txt", "a.txt")]
+    assert files.read_text_files(spark).count() == 0
+    assert files.read_text_files(spark, f"file://{tmp_path}/many").count() == 2106
+
+
 def test_engine_and_command_line(spark, tmp_path, capsys):
     root, given = str(tmp_path / "data"), tmp_path / "in"
     given.mkdir()
