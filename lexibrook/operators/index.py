@@ -2,24 +2,35 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lexibrook.functions.text import text_column, tokens
+from lexibrook.functions.text import STOPWORDS, raw_tokens, text_column, tokens
 from lexibrook.sources.files import open_path
 
 #: Documents for one row of a posting list: a term that stands in all documents has many rows, none of them large.
 LIST_SPAN = 4096
 
 
-def postings(docs: DataFrame) -> DataFrame:
-    """One row for each term of each document, (term, doc_id, tf). doc_ids must be unique: see newest().
+def postings(docs: DataFrame, terms: list[str] | None = None) -> DataFrame:
+    """One row for each term of each document, (term, doc_id, tf); with terms, of these normalized terms alone. doc_ids must be unique: see newest().
 
     A document's terms are counted within its row: its tokens are sorted, and a term's count is the length of its run. So nothing is
-    shuffled. Null or empty text, or text of stop words alone, gives no rows."""
-    words = docs.select("doc_id", F.array_sort(tokens(text_column(docs))).alias("_words"))
+    shuffled. Null or empty text, or text of stop words alone, gives no rows. No row is filtered by its tokens, since Spark would
+    move the test down and make the tokens once more for it; with terms, texts that don't hold one as a part aren't cut into tokens."""
+    text = text_column(docs)
+    if terms is None:
+        words = tokens(text)
+    else:
+        wanted = sorted(set(terms) - set(STOPWORDS))
+        docs = docs.where(reduce(or_, [F.lower(text).contains(t) for t in wanted], F.lit(False)))
+        words = F.filter(raw_tokens(text), lambda t: t.isin(*wanted) if wanted else F.lit(False))
+    words = docs.select("doc_id", F.sort_array(words).alias("_words"))
     first = lambda i: (i == 0) | (F.get("_words", i) != F.get("_words", i - 1))
-    runs = words.where(F.size("_words") > 0).withColumn("_at", F.filter(F.sequence(F.lit(0), F.size("_words") - 1), first))
+    runs = words.withColumn("_at", F.when(F.size("_words") > 0, F.filter(F.sequence(F.lit(0), F.size("_words") - 1), first)))
     each = F.transform("_at", lambda at, k: F.struct(F.get("_words", at).alias("term"), (F.coalesce(F.get("_at", k + 1), F.size("_words")) - at).cast("long").alias("tf")))
     return runs.select("doc_id", F.explode(each).alias("_p")).select("_p.term", "doc_id", "_p.tf")
 

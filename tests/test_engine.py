@@ -16,6 +16,7 @@ from lexibrook.functions import text as tx
 from lexibrook.operators import consistency, search
 from lexibrook.operators import index as ix
 from lexibrook.plans import storage
+from lexibrook.plans.catalogue import QUERIES
 from lexibrook.sources import files, records
 from lexibrook.streaming.ingest import ingest
 
@@ -377,3 +378,20 @@ def test_streaming_ingest(spark, tmp_path):
         spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(log)
         ingest(spark.readStream.schema(schema).parquet(log), str(tmp_path / "docs"), str(tmp_path / "ck")).awaitTermination()
     assert sorted((r.doc_id, r.text) for r in spark.read.parquet(str(tmp_path / "docs")).collect()) == [(1, "a"), (2, "c"), (3, "d")]
+
+
+def plan_of(df):
+    return df._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_texts_are_cut_into_tokens_once(spark, tmp_path):
+    docs = docs_of(spark, {1: "b a b the", 2: None, 3: "the", 4: "", 5: "Ab a ab"})
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    docs = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    every = ix.postings(docs)
+    assert plan_of(every).count("regexp_extract_all") == 1
+    assert {tuple(r) for r in every.collect()} == {("b", 1, 2), ("ab", 5, 2)}
+    for terms in (["ab", "zz"], ["b", "the", "b"], ["zz"], ["the"], []):
+        assert sorted(map(tuple, ix.postings(docs, terms).collect())) == sorted(tuple(r) for r in every.collect() if r.term in terms)
+    for name in ("rank_scores", "rank_documents", "search_ranked_and", "search_ranked_or", "search_ranked_topk", "search_ranked_preview", "search_preview"):
+        assert "regexp_extract_all" not in plan_of(QUERIES[name](spark, str(tmp_path))), name
