@@ -395,3 +395,14 @@ def test_texts_are_cut_into_tokens_once(spark, tmp_path):
         assert sorted(map(tuple, ix.postings(docs, terms).collect())) == sorted(tuple(r) for r in every.collect() if r.term in terms)
     for name in ("rank_scores", "rank_documents", "search_ranked_and", "search_ranked_or", "search_ranked_topk", "search_ranked_preview", "search_preview"):
         assert "regexp_extract_all" not in plan_of(QUERIES[name](spark, str(tmp_path))), name
+
+
+def test_comparison_sorts_by_number_and_extra_terms_need_no_join(spark):
+    docs = docs_of(spark, {1: "b", 2: "c c"})
+    index = spark.createDataFrame([("b", 1, 1), ("b", 2, 1), ("x", 1, 1), ("x", 9, 1), (None, 3, 1)], "term string, doc_id long, tf long")
+    both = consistency.compared(docs, index)
+    assert both.columns == ["term", "doc_id", "expected", "actual"]
+    assert "SortMergeJoin [doc_id" in both._jdf.queryExecution().executedPlan().toString() or "ShuffledHashJoin [doc_id" in both._jdf.queryExecution().executedPlan().toString()
+    extra = consistency.extra_terms(docs, index)
+    assert "Join" not in plan_of(extra)
+    assert {r.term for r in extra.collect()} == {"x", None} and consistency.report(docs, index, docs).first().extra_terms == 2
