@@ -120,7 +120,7 @@ class Engine:
 
     def stats(self) -> dict:
         row = self.documents().agg(F.count("*").alias("documents"), F.min("doc_id").alias("min_id"), F.max("doc_id").alias("max_id"), F.coalesce(F.sum(records.size_of(F.col("text"))), F.lit(0)).alias("bytes")).first().asDict()
-        ends = records.status(records.read_records(self.spark, self.at("log"))).agg(F.coalesce(F.sum("n_valid"), F.lit(0)).alias("n"), F.coalesce(F.sum("total"), F.lit(0)).alias("total"), F.max(F.when(F.col("status") != "ok", F.col("status"))).alias("bad")).first()
+        ends = records.status(records.read_records(self.spark, self.at("log"), payload=False)).agg(F.coalesce(F.sum("n_valid"), F.lit(0)).alias("n"), F.coalesce(F.sum("total"), F.lit(0)).alias("total"), F.max(F.when(F.col("status") != "ok", F.col("status"))).alias("bad")).first()
         return row | {"next_id": self.last_id() + 1, "terms": self.postings().select("term").distinct().count(), "log_records": ends["n"], "log_bytes": ends["total"], "log_status": ends["bad"] or "ok"}
 
     def check(self) -> dict:
@@ -132,7 +132,7 @@ class Engine:
     def recover(self) -> dict:
         """Applies what the log has and storage lacks, the first commit of each id, then cuts bad tails off the log's files. The report is
         storage.recovery_report's, and the bytes removed."""
-        ends = records.status(records.read_records(self.spark, self.at("log")))
+        ends = records.status(records.read_records(self.spark, self.at("log"), payload=False))
         log, docs = self.log().select("doc_id", "text", F.struct("path", "offset").alias("offset")), self.documents()
         report = storage.recovery_report(log, docs, ends).first().asDict()
         storage.replay(log, docs).select("doc_id", "text").write.mode("append").parquet(self.at("documents"))

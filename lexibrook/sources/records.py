@@ -1,7 +1,7 @@
 """Record files: 'FG', length, CRC-32 and id (big-endian, 18 bytes), then the payload; the CRC covers id and payload.
 
 `spark.read.format("lexibrook_records")` gives the valid prefix of each file and one row that says how it ended. Record
-boundaries depend on all earlier lengths, so a file is read by one task, as a stream; files are read in parallel.
+boundaries depend on all earlier lengths, so a file is read by one task, as a stream; small files share a task, others are read in parallel.
 
 An append is one commit: each task writes a hidden file, forced to the disk, and the driver then shows them all under the next commit
 number, COMMIT-TASK.rec. So the order of names is the order of commits. A null payload is an empty one; a null id is an error; a
@@ -20,11 +20,15 @@ from itertools import chain
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceWriter, InputPartition, WriterCommitMessage
+from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, InputPartition, WriterCommitMessage
 
 from lexibrook.sources.files import open_path
 
 MAGIC, HEADER, MOST_ID = b"FG", 18, (1 << 64) - 1
+#: Bytes of a batch of rows, and of a row besides its payload.
+BATCH, ROW = 4 << 20, 256
+#: Tasks that small files are read in, where there are bytes for them, and bytes of a task's files.
+GROUPS, LEAST, LARGEST = 64, 1 << 20, 64 << 20
 SCHEMA = "path string, offset bigint, length bigint, checksum bigint, doc_id decimal(20,0), payload binary, status string, total bigint, reason string"
 
 
@@ -114,25 +118,49 @@ def files_at(path: str) -> list[tuple[str, int]]:
     return [] if info.type == pafs.FileType.NotFound else [(info.path, info.size)]
 
 
-class File(InputPartition):
-    def __init__(self, root: str, path: str, size: int) -> None:
-        self.root, self.path, self.size = root, path, size
+class Files(InputPartition):
+    def __init__(self, root: str, files: list[tuple[str, int]]) -> None:
+        self.root, self.files = root, files
+
+
+def grouped(files: list[tuple[str, int]]) -> list[list[tuple[str, int]]]:
+    """Files in order, several to a task: at least GROUPS groups where they are large enough, of LEAST to LARGEST bytes unless a file is larger."""
+    each, out, size = min(max(sum(n for _, n in files) // GROUPS, LEAST), LARGEST), [], 0
+    for f in files:
+        if not out or size + f[1] > each:
+            out.append([])
+            size = 0
+        out[-1].append(f)
+        size += f[1]
+    return out
 
 
 class Reader(DataSourceReader):
     def __init__(self, options: dict) -> None:
-        self.path = options["path"]
+        self.path, self.payload = options["path"], options.get("payload") != "false"
 
     def partitions(self) -> list[InputPartition]:
-        return [File(self.path, p, n) for p, n in files_at(self.path)] or [File(self.path, "", 0)]
+        return [Files(self.path, group) for group in grouped(files_at(self.path)) or [[]]]
 
-    def read(self, part: File) -> Iterator[tuple]:
-        if not part.path:
-            return
+    def read(self, part: Files) -> Iterator:
+        """Batches of rows of the schema, of about BATCH bytes; payloads are checked but left out, as nulls, if the option payload is false."""
+        import pyarrow as pa
+
+        types = [pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.decimal128(20, 0), pa.binary(), pa.string(), pa.int64(), pa.string()]
+        names = [c.split()[0] for c in SCHEMA.split(", ")]
+        whole = lambda rows: pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)], names)
         fs, _ = open_path(part.root)
-        with fs.open_input_stream(part.path, buffer_size=1 << 20) as stream:
-            for at, length, checksum, doc_id, payload, status, reason in scan(stream, part.size):
-                yield part.path, at, length, checksum, None if doc_id is None else Decimal(doc_id), payload, status, part.size, reason
+        rows, size = [], 0
+        for path, total in part.files:
+            with fs.open_input_stream(path, buffer_size=1 << 20) as stream:
+                for at, length, checksum, doc_id, payload, status, reason in scan(stream, total):
+                    rows.append((path, at, length, checksum, None if doc_id is None else Decimal(doc_id), payload if self.payload else None, status, total, reason))
+                    size += ROW + (len(payload or b"") if self.payload else 0)
+                    if size > BATCH:
+                        yield whole(rows)
+                        rows, size = [], 0
+        if rows:
+            yield whole(rows)
 
 
 def forced(fs, path: str) -> None:
@@ -152,13 +180,14 @@ class Written(WriterCommitMessage):
         self.temporary = temporary
 
 
-class Writer(DataSourceWriter):
+class Writer(DataSourceArrowWriter):
     """Each task writes a hidden file; the driver shows them all once every task is done: that is the commit. One writer at a time."""
 
     def __init__(self, options: dict) -> None:
         self.path = options["path"]
 
-    def write(self, rows: Iterator) -> Written:
+    def write(self, batches: Iterator) -> Written:
+        rows = ((i.as_py(), p.as_py()) for b in batches for i, p in zip(b.column("doc_id"), b.column("payload")))
         first = next(rows, None)
         if first is None:
             return Written(None)
@@ -166,10 +195,10 @@ class Writer(DataSourceWriter):
         fs.create_dir(path, recursive=True)
         temporary = f"{path}/.{uuid.uuid4().hex}"
         with fs.open_output_stream(temporary) as out:
-            for r in chain([first], rows):
-                if r["doc_id"] is None:
+            for doc_id, payload in chain([first], rows):
+                if doc_id is None:
                     raise InvalidDocumentId("null")
-                out.write(encode(int(r["doc_id"]), bytes(r["payload"] or b"")))
+                out.write(encode(int(doc_id), payload or b""))
         forced(fs, temporary)
         return Written(temporary)
 
@@ -204,9 +233,10 @@ class Records(DataSource):
         return Writer(self.options)
 
 
-def read_records(spark: SparkSession, path: str) -> DataFrame:
+def read_records(spark: SparkSession, path: str, payload: bool = True) -> DataFrame:
+    """Rows of SCHEMA; without payload, which isn't needed to count records, payloads are checked but come as nulls."""
     spark.dataSource.register(Records)
-    return spark.read.format("lexibrook_records").load(path)
+    return spark.read.format("lexibrook_records").option("payload", str(payload).lower()).load(path)
 
 
 def append_records(df: DataFrame, path: str) -> None:
@@ -215,6 +245,24 @@ def append_records(df: DataFrame, path: str) -> None:
     df.select("doc_id", "payload").write.format("lexibrook_records").mode("append").save(path)
 
 
+def copy_files(spark: SparkSession, path: str, to: str) -> None:
+    """The record files of a folder in another one, under their names, copied in tasks; a file is shown when it is whole."""
+    def run(batches: Iterator) -> Iterator:
+        fs, folder = open_path(to)
+        for b in batches:
+            for p in b.column(0).to_pylist():
+                temporary = f"{folder}/.{uuid.uuid4().hex}"
+                fs.copy_file(p, temporary)
+                forced(fs, temporary)
+                fs.move(temporary, f"{folder}/{p.rpartition('/')[2]}")
+            yield b
+
+    fs, folder = open_path(to)
+    fs.create_dir(folder, recursive=True)
+    found = spark.createDataFrame([(p,) for p, _ in files_at(path)], "path string").repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "path")
+    found.mapInArrow(run, "path string").write.format("noop").mode("overwrite").save()
+
+
 def valid(scanned: DataFrame) -> DataFrame:
     return scanned.where("status = 'record'").select("path", "offset", "doc_id", "payload")
 

@@ -406,3 +406,22 @@ def test_comparison_sorts_by_number_and_extra_terms_need_no_join(spark):
     extra = consistency.extra_terms(docs, index)
     assert "Join" not in plan_of(extra)
     assert {r.term for r in extra.collect()} == {"x", None} and consistency.report(docs, index, docs).first().extra_terms == 2
+
+
+def test_record_files_are_copied_whole_and_counted_without_payloads(spark, tmp_path):
+    at, to = f"file://{tmp_path}/a", f"file://{tmp_path}/b"
+    records.append_records(spark.range(50).select(F.col("id").alias("doc_id"), F.lit(b"payload").alias("payload")).repartition(3), at)
+    records.copy_files(spark, at, to)
+    both = [{p.rpartition("/")[2]: open(p, "rb").read() for p, _ in records.files_at(x)} for x in (at, to)]
+    assert both[0] == both[1] and len(os.listdir(tmp_path / "b")) == len(both[0]) == 3
+    rows = [sorted(map(tuple, records.status(records.read_records(spark, to, payload=p)).collect())) for p in (True, False)]
+    assert rows[0] == rows[1] and sum(r[1] for r in rows[0]) == 50
+    light = records.valid(records.read_records(spark, to, payload=False)).collect()
+    assert sorted(int(r.doc_id) for r in light) == list(range(50)) and {r.payload for r in light} == {None}
+
+
+def test_small_record_files_share_a_task():
+    files_ = [(f"{k:06}.rec", 2_500_000) for k in range(3000)] + [("x", 1 << 30), ("y", 1)]
+    groups = records.grouped(files_)
+    assert [f for g in groups for f in g] == files_ and len(groups) < 150 and all(len(g) == 1 or sum(n for _, n in g) <= records.LARGEST for g in groups)
+    assert records.grouped([]) == [] and len(records.grouped([("a", 1), ("b", 1)])) == 1
